@@ -1 +1 @@
-from tidewatch.catalog import flows, keys, sources, context  # noqa: F401
+from tidewatch.catalog import flows, keys, sources, context, calibration, metrics  # noqa: F401

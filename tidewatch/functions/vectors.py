@@ -1,12 +1,17 @@
 """Array arithmetic as column expressions."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once and use it several times in `body`."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
@@ -44,5 +49,7 @@ def smooth_max(values: Sequence[Column], temperature: float) -> Column:
 
 def log_sum_exp(values: Column) -> Column:
     """Stable log-sum-exp of an array."""
-    top = F.array_max(values)
-    return top + F.log(total(F.transform(values, lambda x: F.exp(x - top))))
+    def raised(pair: Column) -> Column:
+        return pair["top"] + F.log(total(F.transform(pair["values"], lambda x: F.exp(x - pair["top"]))))
+
+    return bind(values, lambda v: bind(F.struct(v.alias("values"), F.array_max(v).alias("top")), raised))

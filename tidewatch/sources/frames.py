@@ -5,11 +5,11 @@ and the optimizer cannot copy the whole chain into every predicate.
 """
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.vectors import bind
+
 # Link types of capture files, ether types, header numbers.
 ETHERNET, NULL_LOOPBACK, RAW, LINUX_SLL, IPV4_LINK, IPV6_LINK, LINUX_SLL2 = 1, 0, 101, 113, 228, 229, 276
 VLAN_TYPES = ["8100", "88A8", "9100"]
@@ -18,10 +18,6 @@ EXTENSION_HEADERS = [0, 43, 44, 51, 60]
 INET_FAMILY, INET6_FAMILIES = 2, [10, 24, 28, 30]
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _bytes(frame: Column, at, count: int) -> Column:
     """Hex text of `count` bytes from 0-based byte `at`."""
     at = at if isinstance(at, Column) else F.lit(at)
@@ -37,7 +33,7 @@ def _network(frame: Column) -> Column:
     link, size = frame["link"], frame["size"]
     tags = F.regexp_extract(
         F.substring(frame["hex"], F.lit(25), size * 2), rf"^(?:(?:{'|'.join(VLAN_TYPES)}).{{4}})*", 0)
-    ether = _bind((14 + F.length(tags) / 2).cast("int"), lambda n: F.struct(
+    ether = bind((14 + F.length(tags) / 2).cast("int"), lambda n: F.struct(
         n.alias("net"), F.when((size >= 14) & (size >= n), _bytes(frame, n - 2, 2)).alias("type")))
     first, turned = _bytes(frame, 0, 4), F.concat(*[_bytes(frame, i, 1) for i in (3, 2, 1, 0)])
     family = lambda values: first.isin([f"{v:08X}" for v in values]) | turned.isin([f"{v:08X}" for v in values])
@@ -68,7 +64,7 @@ def _ipv6_text(frame: Column, at: Column) -> Column:
             short = F.when(full.rlike(pattern), F.regexp_replace(full, pattern, "$1::$2")).otherwise(short)
         return short
 
-    return _bind(F.array_join(groups, ":"), shorten)
+    return bind(F.array_join(groups, ":"), shorten)
 
 
 def _dotted(frame: Column, at: Column) -> Column:
@@ -86,7 +82,7 @@ def _ipv4(frame: Column, net: Column) -> Column:
         initial = _number(frame, net + 6, 2).bitwiseAND(0x1FFF) == 0
         return _state(_number(frame, net + 9, 1), net + length, whole & initial)
 
-    return F.when(frame["size"] >= net + 20, _bind(_number(frame, net, 1), body))
+    return F.when(frame["size"] >= net + 20, bind(_number(frame, net, 1), body))
 
 
 def _ipv6(frame: Column, net: Column) -> Column:
@@ -105,7 +101,7 @@ def _ipv6(frame: Column, net: Column) -> Column:
         return F.when(s["ok"] & kind.isin(EXTENSION_HEADERS), moved).otherwise(s)
 
     steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor((size - net - 40) / 8).cast("int")))
-    walked = _bind(begin, lambda s: F.when(~s["proto"].isin(EXTENSION_HEADERS), s).otherwise(F.aggregate(steps, s, walk)))
+    walked = bind(begin, lambda s: F.when(~s["proto"].isin(EXTENSION_HEADERS), s).otherwise(F.aggregate(steps, s, walk)))
     return F.when(size >= net + 40, walked)
 
 
@@ -126,9 +122,9 @@ def _packet(frame: Column) -> Column:
     def network(layer: Column) -> Column:
         ip = F.when(layer["type"] == IPV4_TYPE, _ipv4(frame, layer["net"])).when(
             layer["type"] == IPV6_TYPE, _ipv6(frame, layer["net"]))
-        return _bind(ip, lambda s: transport(layer, s))
+        return bind(ip, lambda s: transport(layer, s))
 
-    return _bind(_network(frame), network)
+    return bind(_network(frame), network)
 
 
 def decode_frames(frames: DataFrame) -> DataFrame:
