@@ -20,7 +20,7 @@ STEPS = lambda src, by: (
     ("cross_at", "SELECT k, CASE WHEN h = 0 THEN fpr ELSE fpr0 + (-l / (h - l)) * (fpr - fpr0) END AS v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC) AS i FROM e WHERE h >= 0) WHERE i = 1"),
     ("bracket", """SELECT k, CASE WHEN l = 0 THEN fpr0 ELSE fpr0 + (-l / (h - l)) * (fpr - fpr0) END AS v, score AS upper, CASE WHEN l = 0 THEN score ELSE coalesce(lower, '-inf'::DOUBLE) END AS lower
 FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC) AS i FROM e WHERE l = 0 OR (l < 0 AND h > 0)) WHERE i = 1"""),
-    ("m", """SELECT k, CAST(max(p) AS BIGINT) AS attack, CAST(max(n) AS BIGINT) AS normal, sum(neg * (tp - pos + pos / 2)) / max(p * n) AS auroc, sum(pos / p * pr) AS average_precision,
+    ("m", """SELECT k, CAST(max(p) AS BIGINT) AS attack, CAST(max(n) AS BIGINT) AS normal, sum(neg * (tp - pos + pos / 2)) / nullif(max(p * n), 0) AS auroc, sum(pos / p * pr) AS average_precision,
   sum(pos / p * (pr + pr0) / 2) AS pr_area, coalesce(max(tpr) FILTER (WHERE fpr <= 0.01), 0) AS tpr_at_1pct, coalesce(max(tpr) FILTER (WHERE fpr <= 0.001), 0) AS tpr_at_01pct,
   coalesce(max(tpr) FILTER (WHERE fpr <= 0.0001), 0) AS tpr_at_001pct FROM e GROUP BY k"""),
     ("z", """SELECT m.*, near.v AS eer_nearest, cross_at.v AS eer, bracket.v AS eer_bracket, bracket.lower AS threshold_lower, bracket.upper AS threshold_upper

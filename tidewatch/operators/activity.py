@@ -191,14 +191,18 @@ def decayed_history(summary: DataFrame, width: int, taus: Sequence[float], span:
     out = local.join(carried, ["capture_id", "_block"])
     age = F.col("t") - F.col("_start")
     zero = F.array_repeat(F.lit(0.0), width)
-    for i, tau in enumerate(taus):
-        tau = float(tau)
-        # An earlier block ends (own - b) * block - block + in seconds before this second.
-        def add(acc: Column, e: Column, i: int = i, tau: float = tau) -> Column:
+
+    def carried_in(i: int, tau: float) -> Column:
+        # An earlier block ends (own - b - 1) * block + in + 1 seconds before this second.
+        def add(acc: Column, e: Column) -> Column:
             gap = (F.col("_block") - e["b"] - 1) * block + F.col("_in")
             return F.zip_with(acc, e[f"e{i}"], lambda a, x: a + x * F.exp(-gap / tau))
+
+        return F.aggregate("_earlier", zero, add)
+
+    for i, tau in enumerate(map(float, taus)):
         out = out.withColumns({
-            f"activity_{i}": F.zip_with(F.col(f"_local{i}"), F.aggregate("_earlier", zero, add), lambda a, b: a + b),
+            f"activity_{i}": F.zip_with(F.col(f"_local{i}"), carried_in(i, tau), lambda a, b: a + b),
             f"exposure_{i}": (1 - F.exp(-age / tau)) / (1 - F.exp(F.lit(-1 / tau))),
         })
     out = out.drop("_earlier", "_block", "_in", "_start", *[f"_local{i}" for i in range(len(taus))])

@@ -181,8 +181,8 @@ def trailing_window(
     own = F.floor(F.col(time) / F.lit(block))
     near_end = F.col(time) >= (own + 1) * block - span
     spread = df.withColumn(
-        "_block", F.explode(F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own)))
+        "_tw_block", F.explode(F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own)))
     )
-    window = Window.partitionBy(*by, "_block").orderBy(F.col(time).cast("long")).rangeBetween(-span, -1)
+    window = Window.partitionBy(*by, "_tw_block").orderBy(F.col(time).cast("long")).rangeBetween(-span, -1)
     out = spread.withColumns({name: value.over(window) for name, value in aggregates.items()})
-    return out.where(F.col("_block") == own).drop("_block")
+    return out.where(F.col("_tw_block") == own).drop("_tw_block")
