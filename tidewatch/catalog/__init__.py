@@ -1 +1 @@
-from tidewatch.catalog import flows, keys, sources, context, calibration, metrics, activity, graph  # noqa: F401
+from tidewatch.catalog import flows, keys, sources, context, calibration, metrics, activity, graph, stream  # noqa: F401

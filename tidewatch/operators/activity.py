@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.keys import FLOW_IDENTITY
 from tidewatch.functions.vectors import total, vector_sum
 from tidewatch.operators.ordered import group_totals, last_known, trailing_window
+from tidewatch.session import shared_stage
 
 UNIT = ["capture_id", "node", "direction"]
 CELL = [*UNIT, "timestamp_second", "behaviour"]
@@ -172,6 +173,7 @@ def decayed_history(summary: DataFrame, width: int, taus: Sequence[float], span:
     row each; beyond 745 tau their weight is zero in double precision, so the list of
     earlier blocks is short and nothing is cut off.
     """
+    summary = shared_stage(summary)  # one row per second, read by the branches below
     origin = summary.groupBy("capture_id").agg(F.min("t").alias("_start"))
     timed = summary.join(origin, "capture_id").withColumns({
         "_block": F.floor((F.col("t") - F.col("_start")) / block), "_in": (F.col("t") - F.col("_start")) % block})

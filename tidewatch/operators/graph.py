@@ -13,13 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.vectors import squared_distance
-from tidewatch.operators.ordered import row_positions, running_sums, trailing_window
+from tidewatch.operators.ordered import groups_fit, row_positions, running_sums, trailing_window
 from tidewatch.session import shared_stage
 
 # Role relations of a candidate to the target's endpoints.
 SAME_SOURCE, SAME_DESTINATION, INTO_SOURCE, OUT_OF_DESTINATION = 0, 1, 2, 3
 RELATIONS = {SAME_SOURCE: ("src", "src"), SAME_DESTINATION: ("dst", "dst"), INTO_SOURCE: ("dst", "src"), OUT_OF_DESTINATION: ("src", "dst")}
 TARGET = ["capture_id", "event_id"]
+LANE = ["capture_id", "key", "chain"]  # an excluded chain inside an endpoint sequence
 
 
 def with_chains(events: DataFrame) -> DataFrame:
@@ -152,7 +153,9 @@ def sample_relations(events: DataFrame, k: int, history: int, seed: int, current
         # Skip the target's own place when it lies in this sequence.
         located = drawn.withColumn("at", F.when(F.col("own_at").isNotNull() & (at >= F.col("own_at")), at + 1).otherwise(at))
     else:
-        located = _skip_chain(drawn, placed)
+        chain_rows = placed.select("capture_id", "key", F.col("connection").alias("chain"))
+        fits = groups_fit(asked, LANE, F.least(F.lit(4 * k).cast("long"), size)) and groups_fit(chain_rows, LANE)
+        located = _skip_chain(drawn, placed, fits)
     found = placed.select("capture_id", "key", "at", F.col("event_id").alias("neighbor"),
                           F.col("first_packet_time").alias("neighbor_time"), F.col("timestamp_second").alias("neighbor_second"))
     edges = located.join(found, ["capture_id", "key", "at"]).select(
@@ -160,22 +163,21 @@ def sample_relations(events: DataFrame, k: int, history: int, seed: int, current
     return _first_free(edges, k)
 
 
-def _skip_chain(drawn: DataFrame, placed: DataFrame) -> DataFrame:
+def _skip_chain(drawn: DataFrame, placed: DataFrame, fits: bool) -> DataFrame:
     """Turn a rank among the events outside the excluded chain into a sequence position.
 
     A chain event at position p with chain index c has p - c foreign events before it.
     The drawn rank g has as many chain events before it as have p - c <= g: a running
     count along the merged order of chain events and draws.
     """
-    lane = ["capture_id", "key", "chain"]
     ranked = drawn.withColumn("g", F.col("before") - F.col("past") - (F.col("chain_before") - F.col("chain_past")) + F.col("rank"))
     # A chain in an endpoint sequence consists of the events of one connection there.
     members = placed.select("capture_id", "key", F.col("connection").alias("chain"), "at", "timestamp_second", "event_id")
-    indexed = row_positions(members, lane, ["timestamp_second", "event_id"], "c")
-    marks = indexed.select(*lane, (F.col("at") - F.col("c")).alias("g"), F.lit(0).alias("kind"), F.col("event_id").alias("tie"),
+    indexed = row_positions(members, LANE, ["timestamp_second", "event_id"], "c")
+    marks = indexed.select(*LANE, (F.col("at") - F.col("c")).alias("g"), F.lit(0).alias("kind"), F.col("event_id").alias("tie"),
                            F.lit(None).cast("bigint").alias("event_id"), F.lit(None).cast("int").alias("relation"), F.lit(None).cast("int").alias("turn"))
-    asked = ranked.select(*lane, "g", F.lit(1).alias("kind"), F.col("event_id").alias("tie"), "event_id", "relation", "turn")
-    merged = running_sums(marks.unionByName(asked), lane, ["g", "kind", "tie", "relation", "turn"], {"skipped": (F.col("kind") == 0).cast("long")})
+    asked = ranked.select(*LANE, "g", F.lit(1).alias("kind"), F.col("event_id").alias("tie"), "event_id", "relation", "turn")
+    merged = running_sums(marks.unionByName(asked), LANE, ["g", "kind", "tie", "relation", "turn"], {"skipped": (F.col("kind") == 0).cast("long")}, fits)
     return merged.where("kind = 1").withColumn("at", F.col("g") + F.col("skipped"))
 
 

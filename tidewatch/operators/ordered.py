@@ -19,16 +19,23 @@ from tidewatch.session import group_row_limit, shared_stage
 SLICE = "_slice"
 
 
-def groups_fit(df: DataFrame, by: Sequence[str]) -> bool:
-    """True when no group of `by` has more rows than one task should sort."""
+def groups_fit(df: DataFrame, by: Sequence[str], weight: Column | None = None) -> bool:
+    """True when no group of `by` has more rows than one task should sort.
+
+    `weight` gives the rows each row will turn into, when they are not made yet.
+    """
     limit = group_row_limit(df.sparkSession)
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    sizes = df.groupBy(*by).agg(rows.alias("_n"))
     return sizes.where(F.col("_n") > limit).isEmpty()
 
 
-def slice_groups(df: DataFrame, by: Sequence[str], order: Sequence) -> tuple[DataFrame, bool]:
-    """Add a slice number; within a group, slices follow each other in `order`."""
-    if groups_fit(df, by):
+def slice_groups(df: DataFrame, by: Sequence[str], order: Sequence, fits: bool | None = None) -> tuple[DataFrame, bool]:
+    """Add a slice number; within a group, slices follow each other in `order`.
+
+    `fits` passes on a size check the caller has already made.
+    """
+    if groups_fit(df, by) if fits is None else fits:
         return df.withColumn(SLICE, F.lit(0)), False
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *by, *order)
@@ -49,11 +56,11 @@ def _back(rows: DataFrame, table: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def running_sums(
-    df: DataFrame, by: Sequence[str], order: Sequence, sums: Mapping[str, Column]
+    df: DataFrame, by: Sequence[str], order: Sequence, sums: Mapping[str, Column], fits: bool | None = None
 ) -> DataFrame:
     """Sum of each expression over the earlier rows of the group (own row excluded)."""
     named = {f"_v_{name}": value for name, value in sums.items()}
-    rows, cut = slice_groups(df.withColumns(named), by, order)
+    rows, cut = slice_groups(df.withColumns(named), by, order, fits)
     before = _slice_window(by, order).rowsBetween(Window.unboundedPreceding, -1)
     rows_out = rows.withColumns(
         {name: F.coalesce(F.sum(f"_v_{name}").over(before), F.lit(0)) for name in sums}
@@ -90,6 +97,19 @@ def previous_row(
     return out.drop(SLICE)
 
 
+def running_max(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """Largest `value` among the strictly earlier rows of the group; null for the first row."""
+    rows, cut = slice_groups(df.withColumn("_value", value), by, order)
+    before = _slice_window(by, order).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn(name, F.max("_value").over(before))
+    if cut:
+        tops = rows.groupBy(*by, SLICE).agg(F.max("_value").alias("_top"))
+        earlier = _across(by).rowsBetween(Window.unboundedPreceding, -1)
+        carried = tops.select(*by, SLICE, F.max("_top").over(earlier).alias("_carried"))
+        out = _back(out, carried, by).withColumn(name, F.greatest(name, "_carried")).drop("_carried")
+    return out.drop(SLICE, "_value")
+
+
 def last_known(
     df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, name: str
 ) -> DataFrame:
