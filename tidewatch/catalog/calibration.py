@@ -8,13 +8,13 @@ from tidewatch.catalog.registry import ctes, grid, grid_sql, grids, grids_sql, q
 from tidewatch.operators import calibration as ops, context
 from tidewatch.operators.flows import FLOW_STATISTICS, flow_statistics, number_flows
 from tidewatch.plans.views import SHORT_WINDOW, embedding_flows, packets, tied_scores
-from tidewatch.session import bounded_rows
+from tidewatch.session import bounded_rows, shared_stage
 
 SCORES = ["byte_count", "packet_len_std", "active_duration"]
 
 
 def _flows(spark, sf):
-    return number_flows(flow_statistics(packets(spark, sf), SHORT_WINDOW))
+    return shared_stage(number_flows(flow_statistics(packets(spark, sf), SHORT_WINDOW)))
 
 
 def _normal(flows):
@@ -245,11 +245,11 @@ def f16_context_stats(spark, sf):
     return residual.unionByName(scaler).select("kind", F.col("role").cast("long").alias("role"), "component", *grids("center", "scale", digits=4))
 
 
-@query("f17_joint_evidence", ctes("sflows", ("p", "SELECT capture_id, row_id, packet_count / 10 AS a, packet_len_std / 500 AS b FROM sflows"),
+@query("f17_joint_evidence", ctes("sflows", ("p", f"SELECT capture_id, row_id, packet_count / 10 AS a, {grid_sql('packet_len_mean', 3)} / 500 AS b FROM sflows"),
     ("r", "SELECT capture_id, row_id, a + b AS v FROM p"), ("c", "SELECT v FROM r WHERE capture_id = 'c0'"), ("x", _RANK.format(cal="c", rows="r", on=""))) + f"""
 SELECT capture_id, row_id, {grid_sql("v")} AS joint, {grid_sql("1 - exp(ln((n - below + 1) / (n + 1)))")} AS percentile FROM x""")
 def f17_joint_evidence(spark, sf):
-    flows = _flows(spark, sf).select("capture_id", "row_id", (F.col("packet_count") / 10).alias("a"), (F.col("packet_len_std") / 500).alias("b"))
+    flows = _flows(spark, sf).select("capture_id", "row_id", (F.col("packet_count") / 10).alias("a"), (grid("packet_len_mean", 3) / 500).alias("b"))
     return ops.joint_evidence(flows.where("capture_id = 'c0'"), flows, ["a", "b"]).select("capture_id", "row_id", *grids("joint", "percentile"))
 
 

@@ -5,7 +5,8 @@ from tidewatch.catalog.registry import ctes, grid, grid_sql, grids, grids_sql, q
 from tidewatch.operators import context as ops
 from tidewatch.operators.flows import number_flows, flow_statistics
 from tidewatch.operators.ordered import group_totals
-from tidewatch.plans.views import SHORT_WINDOW, WINDOW, embedding_flows, packets, relations
+from tidewatch.plans.views import SHORT_WINDOW, embedding_flows, packets, relations
+from tidewatch.session import shared_stage
 
 MEMBERS = ("m", """
 SELECT e.*, endpoint_a_ip AS entity FROM eflows e UNION ALL
@@ -194,7 +195,8 @@ def c13_channel_profile(spark, sf):
 
 
 def host_flows(spark, sf):
-    flows = number_flows(flow_statistics(packets(spark, sf), SHORT_WINDOW))
+    # The flow table is the stage boundary every context reads from.
+    flows = shared_stage(number_flows(flow_statistics(packets(spark, sf), SHORT_WINDOW)))
     return flows.withColumns({
         "role": F.when(F.col("protocol") == "tcp", 0).otherwise(1), "regime": F.col("dst_port") - 80,
     })

@@ -7,6 +7,7 @@ from tidewatch.catalog.registry import IDENTITY_SQL, ctes, grid, grid_sql, grids
 from tidewatch.operators import attention, context, graph, joins
 from tidewatch.operators.activity import event_clocks
 from tidewatch.plans.views import SHORT_WINDOW, embedding_flows, packets, table
+from tidewatch.session import shared_stage
 
 
 @query("j1_attached_labels", ctes("packets") + """
@@ -112,15 +113,16 @@ def c31_relation_sample_sizes(spark, sf):
 
 @query("c31_relation_sample")
 def c31_relation_sample(spark, sf):
-    events = _events(spark, sf)
+    events = shared_stage(_events(spark, sf))
     both = [graph.sample_relations(events, 4, H, 11, current=c, slice_seconds=SHORT_WINDOW).withColumn("current", F.lit(c)) for c in (False, True)]
     return both[0].unionByName(both[1])
 
 
 @query("j14_donors")
 def j14_donors(spark, sf):
-    events = _events(spark, sf).withColumn("x", F.array(F.log1p("byte_count")))
-    return graph.donors(events, _private(spark, sf), event_clocks(events), "x", 3, 8, 10 * SHORT_WINDOW)
+    events = shared_stage(_events(spark, sf).withColumn("x", F.array(F.log1p("byte_count"))))
+    private = graph.private_chain(events, H, 3, 2, SHORT_WINDOW)
+    return graph.donors(events, private, event_clocks(events), "x", 3, 8, 10 * SHORT_WINDOW)
 
 
 @query("j11_causal_response", ctes("packets", ("k", """SELECT *, src_port % 3 AS sp, dst_port % 3 AS dp FROM packets"""), ("x", """

@@ -117,16 +117,15 @@ def edge_dt(edges: DataFrame, times: DataFrame, private: bool) -> DataFrame:
     return edges.join(newest, TARGET).withColumn("dt", F.log1p(dt) / F.log(F.lit(65.0))).drop("_origin")
 
 
-def _distinct_ranks(size: Column, most: int, seed: int, *parts: Column) -> Column:
+def _distinct_ranks(size: Column, most: Column, seed: int, *parts: Column) -> Column:
     """min(most, size) distinct ranks below `size`, in seeded order, each subset equally likely."""
-    n = F.least(F.lit(most).cast("long"), size)
-
     def choose(chosen: Column, j: Column) -> Column:
         candidate = F.pmod(F.xxhash64(F.lit(seed), *parts, j), j + 1)
         return F.concat(chosen, F.array(F.when(F.array_contains(chosen, candidate), j).otherwise(candidate)))
 
     empty = F.array().cast("array<bigint>")
-    subset = F.aggregate(F.when(n > 0, F.sequence(size - n, size - 1)).otherwise(empty), empty, choose)
+    some = F.aggregate(F.sequence(size - most, size - 1), empty, choose)
+    subset = F.when(size <= 0, empty).when(size <= most, F.sequence(F.lit(0).cast("long"), size - 1)).otherwise(some)
     mixed = F.transform(subset, lambda r: F.struct(F.xxhash64(F.lit(~seed), *parts, r).alias("h"), r.alias("r")))
     return F.transform(F.array_sort(mixed), lambda s: s["r"])
 
@@ -134,9 +133,9 @@ def _distinct_ranks(size: Column, most: int, seed: int, *parts: Column) -> Colum
 def sample_relations(events: DataFrame, k: int, history: int, seed: int, current: bool = False, slice_seconds: int = 1) -> DataFrame:
     """Up to k candidates per target and relation, uniform without replacement, seeded per event.
 
-    A candidate taken by an earlier relation is not taken again: 4k ranks are drawn in
-    random order, the taken ones (at most 3k) are skipped, and the first k stay. That is
-    a uniform draw from the remaining pool and always full when the pool is.
+    A candidate taken by an earlier relation is not taken again. Relation r draws
+    (r + 1) k ranks in random order, skips the taken ones (at most r k) and keeps the
+    first k: a uniform draw from the remaining pool, and full whenever the pool is.
     """
     events = shared_stage(events)  # read by four branches below
     chained = with_chains(events)
@@ -144,7 +143,8 @@ def sample_relations(events: DataFrame, k: int, history: int, seed: int, current
     placed = row_positions(sequence, ["capture_id", "key"], ["timestamp_second", "event_id"], "at")
     asked = relation_spans(events, history, slice_seconds)
     size = F.col("current_count") if current else F.col("historical_count")
-    ranks = _distinct_ranks(size, 4 * k, seed, F.col("event_id"), F.col("relation"), F.lit("c" if current else "h"))
+    most = ((F.col("relation") + 1) * k).cast("long")
+    ranks = _distinct_ranks(size, most, seed, F.col("event_id"), F.col("relation"), F.lit("c" if current else "h"))
     drawn = asked.where(size > 0).select("*", F.posexplode(ranks).alias("turn", "rank"))
     if current:
         own = placed.select("capture_id", "key", "event_id", F.col("at").alias("own_at"))
@@ -154,7 +154,7 @@ def sample_relations(events: DataFrame, k: int, history: int, seed: int, current
         located = drawn.withColumn("at", F.when(F.col("own_at").isNotNull() & (at >= F.col("own_at")), at + 1).otherwise(at))
     else:
         chain_rows = placed.select("capture_id", "key", F.col("connection").alias("chain"))
-        fits = groups_fit(asked, LANE, F.least(F.lit(4 * k).cast("long"), size)) and groups_fit(chain_rows, LANE)
+        fits = groups_fit(asked, LANE, F.least(most, size)) and groups_fit(chain_rows, LANE)
         located = _skip_chain(drawn, placed, fits)
     found = placed.select("capture_id", "key", "at", F.col("event_id").alias("neighbor"),
                           F.col("first_packet_time").alias("neighbor_time"), F.col("timestamp_second").alias("neighbor_second"))
@@ -184,7 +184,7 @@ def _skip_chain(drawn: DataFrame, placed: DataFrame, fits: bool) -> DataFrame:
 def _first_free(edges: DataFrame, k: int) -> DataFrame:
     """Per target, walk the relations in order and keep the first k draws not taken before.
 
-    A target has at most 4 x 4k drawn edges.
+    A target has at most 10k drawn edges; without a repeated neighbour no walk is needed.
     """
     edge = F.struct("relation", "turn", "neighbor", "neighbor_time", "neighbor_second")
     listed = edges.groupBy(*TARGET).agg(F.array_sort(F.collect_list(edge)).alias("_e"))
@@ -193,7 +193,9 @@ def _first_free(edges: DataFrame, k: int) -> DataFrame:
         taken = F.exists(kept, lambda x: x["neighbor"] == e["neighbor"])
         full = F.size(F.filter(kept, lambda x: x["relation"] == e["relation"])) >= k
         return F.when(taken | full, kept).otherwise(F.concat(kept, F.array(e)))
-    chosen = F.aggregate(F.col("_e").cast(kind), F.array().cast(kind), take)
+    every = F.col("_e").cast(kind)
+    repeated = F.size(F.array_distinct(F.transform("_e", lambda e: e["neighbor"]))) < F.size("_e")
+    chosen = F.when(repeated, F.aggregate(every, F.array().cast(kind), take)).otherwise(F.filter(every, lambda e: e["turn"] < k))
     return listed.select(*TARGET, F.inline(chosen)).drop("turn")
 
 
@@ -213,7 +215,7 @@ def donors(events: DataFrame, private: DataFrame, clocks: DataFrame, vector: str
     sizes = placed.groupBy("new_connection").agg(F.count(F.lit(1)).alias("pool"))
     asked = placed.join(blocks, ["new_connection", "block"]).join(sizes, "new_connection")
     free = F.col("pool") - F.col("width")
-    ranks = _distinct_ranks(free, choices + 1, seed, F.col("capture_id"), F.col("event_id"))
+    ranks = _distinct_ranks(free, F.lit(choices + 1).cast("long"), seed, F.col("capture_id"), F.col("event_id"))
     drawn = asked.where(free > 0).select(
         *TARGET, "new_connection", F.col(vector).alias("_own"), "low", "width", F.posexplode(ranks).alias("turn", "rank"))
     at = F.when(F.col("rank") < F.col("low"), F.col("rank")).otherwise(F.col("rank") + F.col("width"))

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,12 +46,15 @@ def stage_folder(spark: SparkSession) -> str:
 
 
 def shared_stage(df: DataFrame) -> DataFrame:
-    """Materialise `df` once in the shared folder.
+    """Write `df` once as a table in the shared folder and read it back.
 
-    Later stages then see one fixed result even when executors are lost.
+    Later stages see one fixed result even when executors are lost, and read only
+    the columns they need. The folder's owner decides how long stages are kept.
     """
-    stage_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{stage_folder(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bounded_rows(df: DataFrame, most: int) -> list:
