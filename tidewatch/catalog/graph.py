@@ -130,7 +130,7 @@ SELECT a.frame_number, a.capture_id, CAST(a.binary_label AS BIGINT) AS binary_la
   AND p.dst_ip = a.src_ip AND p.sp = a.dp AND p.dp = a.sp AND p.protocol = a.protocol AND (p.ts < a.ts OR (p.ts = a.ts AND p.frame_number < a.frame_number)) AND a.ts - p.ts <= 20000) AS response FROM k a""")) + """
 SELECT frame_number, capture_id, binary_label, response, CASE WHEN response THEN 1 ELSE binary_label END AS causal_label FROM x""")
 def j11_causal_response(spark, sf):
-    # Attacks of the view are UDP; every tenth of a day stands in for the millisecond scale.
+    # Twenty thousand seconds stand in for ten milliseconds on the month-long view.
     out = joins.causal_response(_folded(packets(spark, sf)), 20000.0)
     return out.select("frame_number", "capture_id", F.col("binary_label").cast("long").alias("binary_label"), "response", F.col("causal_label").cast("long").alias("causal_label"))
 

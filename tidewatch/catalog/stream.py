@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from tidewatch.catalog.activity import ACTIVITY, INTENSITY, SPAN, _flows
-from tidewatch.catalog.registry import IDENTITY_SQL, ctes, grid, grid_sql, grids, query
+from tidewatch.catalog.registry import IDENTITY_SQL, ctes, grid, grid_sql, grids, grids_sql, query
 from tidewatch.operators.flows import FLOW_STATISTICS
 from tidewatch.operators.history import HistoryRule, historical_context
 from tidewatch.plans.detector import detect
@@ -20,13 +20,16 @@ def _packet_stream(spark, sf):
     return as_stream(packets(spark, sf), "packets")
 
 
+_MERGED = [c for c in FLOW_STATISTICS if not c.startswith("iat_") or c == "iat_mean"]
+
+
 @query("t1_stream_flows", ctes("sflows") + f"""
-SELECT capture_id, timestamp_second, src_ip, dst_ip, protocol, CAST(src_port AS BIGINT) AS src_port, CAST(dst_port AS BIGINT) AS dst_port, CAST(packet_count AS BIGINT) AS packet_count,
-  CAST(byte_count AS BIGINT) AS byte_count, {grid_sql("active_duration", 4)} AS active_duration, {grid_sql("packet_len_std", 4)} AS packet_len_std FROM sflows WHERE {_CLOSED}""")
+SELECT capture_id, timestamp_second, src_ip, dst_ip, protocol, CAST(src_port AS BIGINT) AS src_port, CAST(dst_port AS BIGINT) AS dst_port,
+  {grids_sql(*_MERGED, digits=3)} FROM sflows WHERE {_CLOSED}""")
 def t1_stream_flows(spark, sf):
     out = run_available(live.stream_flows(_packet_stream(spark, sf), W), "flows")
     ports = [F.col(c).cast("long").alias(c) for c in ("src_port", "dst_port")]
-    return out.select("capture_id", "timestamp_second", "src_ip", "dst_ip", "protocol", *ports, "packet_count", "byte_count", *grids("active_duration", "packet_len_std", digits=4))
+    return out.select("capture_id", "timestamp_second", "src_ip", "dst_ip", "protocol", *ports, *grids(*_MERGED, digits=3))
 
 
 @query("t1_late_packets", ctes("packets", ("o", """

@@ -84,7 +84,8 @@ def microbins_iat(packets: DataFrame, window: float, bins: int, alignment: str =
     placed = directional_key(window_coords(eligible(packets), window, alignment))
     placed = placed.withColumn("bin", micro_bin(F.col("offset"), window / bins, bins))
     slim = placed.select(*SEGMENT, "bin", "frame_number", "ts", "wire_length")
-    gaps = previous_row(slim, ["capture_id", *ENDPOINTS], ["frame_number"], ["ts"], "_prev")
+    key = ["capture_id", *ENDPOINTS]
+    gaps = previous_row(slim, key, ["frame_number"], ["ts"], "_prev", fits=groups_fit(slim, key, narrow=True))
     gaps = gaps.withColumn("gap_ms", F.greatest(F.lit(0.0), (F.col("ts") - F.col("_prev.ts")) * 1000.0))
     gaps = gaps.withColumn("gap_ms", F.when(F.col("_prev").isNotNull(), F.col("gap_ms")))
     length = F.col("wire_length").cast("double")
@@ -107,6 +108,41 @@ def _mean_std_max(values: list[Column], name: str) -> list[Column]:
     return [mean.alias(f"{name}_mean"), spread.alias(f"{name}_std"), F.greatest(*values).alias(f"{name}_max")]
 
 
+def mergeable_aggregates() -> list[Column]:
+    """Everything a flow needs but the spread of its gaps; a length has at most 1500 values."""
+    length = F.col("wire_length").cast("double")
+    quarter = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    return [
+        F.count(F.lit(1)).alias("_n"), F.sum(F.col("wire_length").cast("long")).alias("_bytes"),
+        F.min("ts").alias("first_packet_time"), F.max("ts").alias("_last"),
+        F.min("frame_number").alias("event_id"), F.max("binary_label").alias("binary_label"),
+        F.stddev_pop(length).alias("packet_len_std"), F.min("wire_length").alias("_min"),
+        F.max("wire_length").alias("_max"), F.percentile(F.col("wire_length"), quarter).alias("_lq"),
+        *[F.coalesce(F.sum(F.when(F.col("bin") == b, length)), F.lit(0.0)).alias(f"_b{b}") for b in range(10)],
+        *[F.count_if(F.col("bin") == b).cast("double").alias(f"_p{b}") for b in range(10)],
+    ]
+
+
+def size_columns() -> list[Column]:
+    """Counts, duration and length statistics from `mergeable_aggregates`."""
+    return [
+        F.col("_n").cast("double").alias("packet_count"), F.col("_bytes").cast("double").alias("byte_count"),
+        (F.col("_last") - F.col("first_packet_time")).alias("active_duration"),
+        (F.col("_bytes") / F.col("_n")).alias("packet_len_mean"), F.col("packet_len_std"),
+        F.col("_min").cast("double").alias("packet_len_min"), F.col("_max").cast("double").alias("packet_len_max"),
+        *[F.col("_lq")[i].alias(f"packet_len_p{q}") for i, q in enumerate((25, 50, 75))],
+    ]
+
+
+def bin_columns() -> list[Column]:
+    """Active bins and the spread over all ten bins from `mergeable_aggregates`."""
+    bin_bytes, bin_packets = ([F.col(f"_{k}{b}") for b in range(10)] for k in "bp")
+    active = F.lit(0.0)
+    for p in bin_packets:
+        active = active + F.when(p > 0, 1.0).otherwise(0.0)
+    return [active.alias("active_bin_count"), *_mean_std_max(bin_bytes, "bin_bytes"), *_mean_std_max(bin_packets, "bin_packets")]
+
+
 def flow_statistics(packets: DataFrame, window: int = 1, keep_bins: bool = False) -> DataFrame:
     """The 25 statistics of every directional flow of `window` seconds.
 
@@ -120,25 +156,17 @@ def flow_statistics(packets: DataFrame, window: int = 1, keep_bins: bool = False
         "ts", "frame_number", F.col("wire_length").cast("int").alias("wire_length"), "binary_label",
         tenth_bin(F.col("ts") - start * w, window).alias("bin"),
     )
-    small = groups_fit(rows, FLOW)
+    small = groups_fit(rows, FLOW, narrow=True)
     if small:
         ordered = Window.partitionBy(*FLOW).orderBy("ts", "frame_number")
         rows = rows.withColumn("gap", F.col("ts") - F.lag("ts").over(ordered))
     else:
-        rows = previous_row(rows, FLOW, ["ts", "frame_number"], ["ts"], "_prev")
+        rows = previous_row(rows, FLOW, ["ts", "frame_number"], ["ts"], "_prev", fits=False)
         rows = rows.withColumn("gap", F.col("ts") - F.col("_prev.ts")).drop("_prev")
-    length = F.col("wire_length").cast("double")
     quarter = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    aggregates = [
-        F.count(F.lit(1)).alias("_n"), F.sum(F.col("wire_length").cast("long")).alias("_bytes"),
-        F.min("ts").alias("first_packet_time"), F.max("ts").alias("_last"),
-        F.min("frame_number").alias("event_id"), F.max("binary_label").alias("binary_label"),
-        F.stddev_pop(length).alias("packet_len_std"), F.min("wire_length").alias("_min"),
-        F.max("wire_length").alias("_max"), F.percentile(F.col("wire_length"), quarter).alias("_lq"),
+    aggregates = mergeable_aggregates() + [
         F.avg("gap").alias("_gm"), F.stddev_pop("gap").alias("_gs"), F.min("gap").alias("_g0"), F.max("gap").alias("_g1"),
     ]
-    aggregates += [F.coalesce(F.sum(F.when(F.col("bin") == b, length)), F.lit(0.0)).alias(f"_b{b}") for b in range(10)]
-    aggregates += [F.count_if(F.col("bin") == b).cast("double").alias(f"_p{b}") for b in range(10)]
     if small:
         aggregates.append(F.percentile("gap", quarter).alias("_gq"))
     flows = rows.groupBy(*FLOW).agg(*aggregates)
@@ -149,26 +177,17 @@ def flow_statistics(packets: DataFrame, window: int = 1, keep_bins: bool = False
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     bin_bytes = [F.col(f"_b{b}") for b in range(10)]
     bin_packets = [F.col(f"_p{b}") for b in range(10)]
-    active = F.lit(0.0)
-    for p in bin_packets:
-        active = active + F.when(p > 0, 1.0).otherwise(0.0)
     extra = [
         "event_id", "first_packet_time", "binary_label",
         *([F.array(*bin_packets).alias("bin_packets"), F.array(*bin_bytes).alias("bin_bytes")] if keep_bins else []),
     ]
     return flows.select(
-        *FLOW,
-        F.col("_n").cast("double").alias("packet_count"), F.col("_bytes").cast("double").alias("byte_count"),
-        (F.col("_last") - F.col("first_packet_time")).alias("active_duration"),
-        (F.col("_bytes") / F.col("_n")).alias("packet_len_mean"), "packet_len_std",
-        F.col("_min").cast("double").alias("packet_len_min"), F.col("_max").cast("double").alias("packet_len_max"),
-        *[F.col("_lq")[i].alias(f"packet_len_p{q}") for i, q in enumerate((25, 50, 75))],
+        *FLOW, *size_columns(),
         zero(F.col("_gm")).alias("iat_mean"), zero(F.col("_gs")).alias("iat_std"),
         zero(F.col("_g0")).alias("iat_min"), zero(F.col("_g1")).alias("iat_max"),
         *[zero(F.get("_gq", i)).alias(f"iat_p{q}") for i, q in enumerate((25, 50, 75))],
         F.when(F.col("_gm") > 0, F.col("_gs") / F.col("_gm")).otherwise(0.0).alias("iat_cv"),
-        active.alias("active_bin_count"),
-        *_mean_std_max(bin_bytes, "bin_bytes"), *_mean_std_max(bin_packets, "bin_packets"), *extra,
+        *bin_columns(), *extra,
     )
 
 

@@ -19,12 +19,16 @@ from tidewatch.session import group_row_limit, shared_stage
 SLICE = "_slice"
 
 
-def groups_fit(df: DataFrame, by: Sequence[str], weight: Column | None = None) -> bool:
+def groups_fit(df: DataFrame, by: Sequence[str], weight: Column | None = None, narrow: bool = False) -> bool:
     """True when no group of `by` has more rows than one task should sort.
 
     `weight` gives the rows each row will turn into, when they are not made yet.
+    `narrow` marks a plain scan with filters: there the row count reads almost no
+    column, and a table below the limit needs no further look.
     """
     limit = group_row_limit(df.sparkSession)
+    if narrow and df.count() <= limit:
+        return True
     rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
     sizes = df.groupBy(*by).agg(rows.alias("_n"))
     return sizes.where(F.col("_n") > limit).isEmpty()
@@ -84,11 +88,11 @@ def row_positions(df: DataFrame, by: Sequence[str], order: Sequence, name: str)
 
 
 def previous_row(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], name: str
+    df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], name: str, fits: bool | None = None
 ) -> DataFrame:
     """Struct of `columns` of the row just before, null for the first row of a group."""
     kept = F.struct(*columns)
-    rows, cut = slice_groups(df, by, order)
+    rows, cut = slice_groups(df, by, order, fits)
     out = rows.withColumn(name, F.lag(kept).over(_slice_window(by, order)))
     if cut:
         tails = rows.groupBy(*by, SLICE).agg(F.max_by(kept, F.struct(*order)).alias("_tail"))
@@ -111,10 +115,10 @@ def running_max(df: DataFrame, by: Sequence[str], order: Sequence[str], value: C
 
 
 def last_known(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, name: str
+    df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, name: str, fits: bool | None = None
 ) -> DataFrame:
     """Last non-null `value` among the strictly earlier rows of the group."""
-    rows, cut = slice_groups(df.withColumn("_value", value), by, order)
+    rows, cut = slice_groups(df.withColumn("_value", value), by, order, fits)
     before = _slice_window(by, order).rowsBetween(Window.unboundedPreceding, -1)
     out = rows.withColumn(name, F.last("_value", ignorenulls=True).over(before))
     if cut:

@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidewatch.functions.keys import FLOW_IDENTITY, pair_key
+from tidewatch.functions.keys import FLOW_IDENTITY, pair_key, tenth_bin
 from tidewatch.operators.activity import RESOURCES
+from tidewatch.operators.flows import bin_columns, mergeable_aggregates, size_columns
 from tidewatch.operators.history import EntityMemory, HistoryRule, PairMemory
 from tidewatch.operators.ordered import running_max
 
@@ -36,24 +37,20 @@ def _seconds(column: str = "window.start"):
 
 
 def stream_flows(packets: DataFrame, seconds: int = 1, tolerance: int = 2) -> DataFrame:
-    """Directional flows of closed windows.
+    """Directional flows of closed windows with every statistic that merges.
 
     A window closes once a packet `tolerance` seconds past its end is seen; later rows
     for it are dropped by Spark and reported by `late_rows` and the query progress.
-    The times of one flow in one window are sorted for its gaps; lengths have at most
-    1500 distinct values.
+    The mean gap follows from the duration; the spread of the gaps needs ordered times
+    and is left to the batch operator over the closed windows.
     """
-    rows = tumble(with_event_time(packets), seconds, f"{tolerance} seconds")
-    flows = rows.groupBy("capture_id", *FLOW_IDENTITY, "window").agg(
-        F.count(F.lit(1)).alias("packet_count"), F.sum(F.col("wire_length").cast("long")).alias("byte_count"),
-        F.min("ts").alias("first_packet_time"), F.max("ts").alias("_last"), F.min("frame_number").alias("event_id"),
-        F.avg("wire_length").alias("packet_len_mean"), F.stddev_pop("wire_length").alias("packet_len_std"),
-        F.min("wire_length").alias("packet_len_min"), F.max("wire_length").alias("packet_len_max"),
-        F.max("binary_label").alias("binary_label"))
+    start = F.floor(F.col("ts") / F.lit(float(seconds))) * F.lit(float(seconds))
+    timed = with_event_time(packets).withColumn("bin", tenth_bin(F.col("ts") - start, seconds))
+    flows = tumble(timed, seconds, f"{tolerance} seconds").groupBy("capture_id", *FLOW_IDENTITY, "window").agg(*mergeable_aggregates())
+    gap = F.when(F.col("_n") > 1, (F.col("_last") - F.col("first_packet_time")) / (F.col("_n") - 1)).otherwise(0.0)
     return flows.select(
-        "capture_id", _seconds(), *FLOW_IDENTITY, "window", "packet_count", "byte_count", "first_packet_time",
-        (F.col("_last") - F.col("first_packet_time")).alias("active_duration"), "event_id",
-        "packet_len_mean", "packet_len_std", "packet_len_min", "packet_len_max", "binary_label")
+        "capture_id", _seconds(), *FLOW_IDENTITY, "window", *size_columns(), gap.alias("iat_mean"), *bin_columns(),
+        "first_packet_time", "event_id", "binary_label")
 
 
 def late_rows(packets: DataFrame, tolerance: int = 2) -> DataFrame:
