@@ -4,7 +4,7 @@ import math
 from pyspark.sql import functions as F
 
 from tidewatch.catalog.context import HOSTS, host_flows, host_sql
-from tidewatch.catalog.registry import ctes, grid, grid_sql, grids, grids_sql, query
+from tidewatch.catalog.registry import ctes, grid, grid_sql, grids, query
 from tidewatch.operators import calibration as ops, context
 from tidewatch.operators.flows import FLOW_STATISTICS, flow_statistics, number_flows
 from tidewatch.plans.views import SHORT_WINDOW, embedding_flows, packets, tied_scores

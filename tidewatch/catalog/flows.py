@@ -84,7 +84,6 @@ def a3_microbins_iat(spark, sf):
 
 
 _KEY = ["capture_id", "timestamp_second", "src_ip", "dst_ip", "protocol"]
-_PORTS = [F.col(c).cast("long").alias(c) for c in ()]
 
 
 def _flow_columns(df):

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.catalog.activity import _flows
 from tidewatch.catalog.context import MEMBERS
-from tidewatch.catalog.registry import IDENTITY_SQL, ctes, grid, grid_sql, grids, query
+from tidewatch.catalog.registry import ctes, grid, grid_sql, grids, query
 from tidewatch.operators import attention, context, graph, joins
 from tidewatch.operators.activity import event_clocks
 from tidewatch.plans.views import SHORT_WINDOW, embedding_flows, packets, table

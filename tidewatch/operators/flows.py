@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.keys import (
-    ENDPOINTS, FLOW_IDENTITY, UNLABELED, canonical_key, directional_key, eligible,
+    ENDPOINTS, FLOW_IDENTITY, canonical_key, directional_key, eligible,
     enough_packets, flow_key, micro_bin, tenth_bin, window_coords, with_ids,
 )
 from tidewatch.operators.ordered import (

@@ -8,11 +8,13 @@ state of fixed size; no group is collected.
 """
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -176,3 +178,7 @@ def historical_context(flows: DataFrame, rule: HistoryRule, reset_each_capture:
         mixed = F.zip_with("_mean", "pair_mean", lambda e, p: 0.5 * e + 0.5 * p)
         out = out.withColumn(f"context_{side}", F.when(F.col("pair_mean").isNotNull(), mixed).otherwise(F.col("_mean"))).drop("_mean")
     return out.drop("scope", "pair", "pair_mean")
+
+
+# Python workers get the folds by value, so they need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -3,11 +3,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.keys import FLOW_IDENTITY
-from tidewatch.functions.keys import canonical_key
+from tidewatch.functions.keys import FLOW_IDENTITY, canonical_key
 from tidewatch.operators.ordered import groups_fit, last_known
 
 FRAME = ["capture_id", "frame_number"]

@@ -8,10 +8,12 @@ bounded by the history length.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -263,3 +265,7 @@ def stream_fresh_clocks(clocked: DataFrame) -> DataFrame:
     keys = ["capture_id", "src_ip", "dst_ip", "behaviour"]
     slim = clocked.where("new_connection").select(*keys, "event_id", "first_packet_time")
     return _apply(slim, keys, _clock_fold(FRESH_OUTPUT, False), FRESH_OUTPUT, "time double, event long")
+
+
+# Python workers get the folds by value, so they need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
