@@ -157,6 +157,14 @@ def dedup(docs: DataFrame) -> DataFrame:
     )
 
 
+def unique_documents(docs: DataFrame) -> DataFrame:
+    """One whole row of `docs` for each text, that with the smallest doc_id."""
+    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("_doc"), "text", F.col("doc_id").cast("long").alias("_id"))
+    keyed = digests(rows)
+    kept = keyed.drop("text").join(groups(keyed, "_id"), "_digest").where(F.col("_id").eqNullSafe(F.col("_keep")))
+    return kept.dropDuplicates(["_digest"]).select("_doc.*")
+
+
 def apply_changes(index: CuckooIndex, changes: Iterable[tuple[str, str, int]]) -> list[tuple[int, int | None]]:
     """Feed live changes ("insert" or "delete", text, id) to an index.
 

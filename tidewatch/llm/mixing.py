@@ -14,6 +14,7 @@ without words gets nothing. An empty table gives an empty mix. Same input, same
 """
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -31,7 +32,7 @@ MOST_SOURCES = 100_000
 
 @dataclass
 class Mix:
-    """rows: _row, doc_id, source, size, _s, _start. sources: _s, source_size, target.
+    """rows: _row, _k (hash of id and text), doc_id, source, size, _s, _start. sources: _s, source_size, target.
     slots: shard, _s, turn, block. pieces: _s, block, _row, doc_id, first, length (words of the document)."""
 
     rows: DataFrame
@@ -104,7 +105,11 @@ def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, data, places in slices(batch, "text"):
             size = pa.array(word_counts(data, places, NOT_SPACE))
-            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in ("_row", "doc_id", "source")), size], ["_row", "doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in ("_row", "_k", "doc_id", "source")), size], ["_row", "_k", "doc_id", "source", "size"])
+
+
+def _content() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
 def mix(
@@ -113,9 +118,9 @@ def mix(
 ) -> Mix:
     spark = docs.sparkSession
     rows = docs.select(
-        F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"),
+        F.monotonically_increasing_id().alias("_row"), _content().alias("_k"), F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"),
-    ).mapInArrow(_sized, "_row long, doc_id long, source string, size long")
+    ).mapInArrow(_sized, "_row long, _k long, doc_id long, source string, size long")
     rows = shared_stage(rows)
     sizes = bounded_rows(rows.groupBy("source").agg(F.sum("size").alias("size")), MOST_SOURCES)
     sizes = sorted(sizes, key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
@@ -159,7 +164,8 @@ def mix(
 def chosen_pieces(m: Mix) -> DataFrame:
     """Pieces the mix takes with `times`, how often."""
     times = m.slots.groupBy("_s", "block").agg(F.count(F.lit(1)).alias("times"))
-    return m.pieces.join(times, ["_s", "block"])
+    # A few rows explode into as many as there are blocks, which size estimates do not see: never broadcast them.
+    return m.pieces.join(times.hint("merge"), ["_s", "block"])
 
 
 def taken(docs: DataFrame, **how) -> DataFrame:
@@ -170,3 +176,42 @@ def taken(docs: DataFrame, **how) -> DataFrame:
         m.rows.join(F.broadcast(m.sources.drop("source")), "_s").join(words, "_row", "left")
         .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
     )
+
+
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def words_at(text: str, size: int, runs: Sequence[dict]) -> str:
+    """The words of `text` in the given runs (first, length); the text as it is when they cover it."""
+    if sum(r["length"] for r in runs) == size:
+        return text
+    data = text.encode()
+    places = [m.span() for m in _WORD.finditer(data)]
+    parts: list[list[int]] = []
+    for r in sorted(runs, key=lambda r: r["first"]):
+        if parts and parts[-1][1] == r["first"]:
+            parts[-1][1] += r["length"]
+        else:
+            parts.append([r["first"], r["first"] + r["length"]])
+    return b" ".join(data[places[a][0]:places[b - 1][1]] for a, b in parts).decode()
+
+
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """The mix as documents with the columns of `docs`: a row for each document and turn, its text the words taken."""
+    m = mix(docs, **how)
+    takes = chosen_pieces(m).withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    takes = takes.groupBy("_row", "turn").agg(F.collect_list(F.struct("first", "length")).alias("runs"))
+    takes = takes.join(m.rows.select("_row", "_k", "size"), "_row").select(F.col("_k").alias("_key"), "size", "runs")
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("_doc"), F.col("text").cast("string").alias("text"), _content().alias("_k"))
+    rows = rows.dropDuplicates(["_k"]).join(takes, F.col("_k") == F.col("_key")).select("_doc", "size", "runs", "text")
+    schema = rows.schema["_doc"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [words_at(t, n, r) for t, n, r in zip(*(batch.column(c).to_pylist() for c in ("text", "size", "runs")))]
+            yield pa.RecordBatch.from_arrays([batch.column("_doc"), pa.array(texts, pa.string())], ["_doc", "_text"])
+
+    out = rows.mapInArrow(cut, f"_doc {schema}, _text string")
+    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return out.select(*[new.get(n, F.col("_doc").getField(n)).alias(n) for n in names])
