@@ -118,8 +118,12 @@ def spans(docs: DataFrame, known: Sequence[Template], slack: int = 3, least: flo
 
 
 def _share(template: Sequence[str], text: Sequence[str]) -> float:
-    blocks = SequenceMatcher(None, template, text, autojunk=False).get_matching_blocks()
-    return sum(b.size for b in blocks) / len(template)
+    """Words in common and in order, as a share of the longer of the template and the matched stretch."""
+    blocks = [b for b in SequenceMatcher(None, template, text, autojunk=False).get_matching_blocks() if b.size]
+    if not blocks:
+        return 0.0
+    stretch = blocks[-1].b + blocks[-1].size - blocks[0].b
+    return sum(b.size for b in blocks) / max(len(template), stretch)
 
 
 def verified(docs: DataFrame, found: DataFrame, known: Sequence[Template], least: float = 0.8) -> DataFrame:

@@ -6,7 +6,8 @@ classes whose states are merged as long as their outgoing frequencies agree (Hoe
 bound). Every other run of credential characters that is long enough and holds both a digit
 and a letter is a candidate; it becomes an `inferred` span when some kind's automaton gives
 it a likelihood per character as high as that kind's own held-back strings have, and higher
-than the automaton of ordinary candidates. Base spans always stay.
+than the automaton of ordinary words (runs without a digit, one a text) gives it. Base spans
+always stay.
 
 A fit uses at most `per_kind` distinct strings a kind, those with the smallest hashes; scans
 read every text whole. Null and empty texts have no spans (the digest is that of an empty
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -27,12 +29,14 @@ from tidewatch.session import shared_stage
 
 KINDS = ("assign", "access", "hex")
 INFERRED = "inferred"
+SLACK = 0.05  # below the least score of a held-back string, in natural log a character
 ASSIGN = re.compile(
     r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"""
     r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run of fewer is no match of the kind, and runs do not overlap
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+ORDINARY = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z+/_.=-]{8,}(?![A-Za-z0-9+/_.=-])")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, int, int]]:
@@ -53,6 +57,11 @@ def candidates(text: str, spans: Sequence[tuple]) -> list[tuple[int, int]]:
     return out
 
 
+def ordinary_word(text: str) -> str | None:
+    """The digit-free run of a text whose checksum is smallest."""
+    return min(set(ORDINARY.findall(text)), key=lambda w: (zlib.crc32(w.encode()), w), default=None)
+
+
 CLASSES = {**{c: "0" for c in "0123456789"}, **{c: "a" for c in "abcdef"}, **{c: "g" for c in "ghijklmnopqrstuvwxyz"},
            **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: c for c in "+/_.=-"}}
 _SIZE = {"0": 10, "a": 6, "g": 20, "A": 26}
@@ -149,28 +158,30 @@ class Grammars:
 
     def accepts(self, text: str) -> bool:
         scores = [(a.score(text), least) for a, least in self.kinds]
-        plain = self.ordinary.score(text) if self.ordinary else -math.log(68)
+        plain = self.ordinary.score(text) if self.ordinary else -math.inf
         return any(value >= least and value > plain for value, least in scores)
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, base (start, end, kind, value) and runs (start, end, value) of every text."""
+    """doc_id, base (start, end, kind, value), runs (start, end, value) and an ordinary word of every text."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("value", pa.string())]))
         run_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
         for batch in batches:
-            base, runs = [], []
+            base, runs, plain = [], [], []
             for text in batch.column("text"):
                 text = text.as_py() or ""
                 spans = base_spans(text)
                 base.append([(s, e, k, text[a:b]) for s, e, k, a, b in spans])
                 runs.append([(s, e, text[s:e]) for s, e in candidates(text, spans)])
+                plain.append(ordinary_word(text))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([[dict(zip(("start", "end", "kind", "value"), x)) for x in v] for v in base], base_type),
-                                              pa.array([[dict(zip(("start", "end", "value"), x)) for x in v] for v in runs], run_type)], ["doc_id", "base", "runs"])
+                                              pa.array([[dict(zip(("start", "end", "value"), x)) for x in v] for v in runs], run_type),
+                                              pa.array(plain, pa.string())], ["doc_id", "base", "runs", "plain"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(find, "doc_id long, base array<struct<start:long,end:long,kind:string,value:string>>, runs array<struct<start:long,end:long,value:string>>")
+    return rows.mapInArrow(find, "doc_id long, base array<struct<start:long,end:long,kind:string,value:string>>, runs array<struct<start:long,end:long,value:string>>, plain string")
 
 
 def infer(found: DataFrame, per_kind: int = 300) -> Grammars:
@@ -186,9 +197,8 @@ def infer(found: DataFrame, per_kind: int = 300) -> Grammars:
         if len(own) >= 5:
             cut = len(own) - len(own) // 5
             automaton = Automaton(own[:cut])
-            scores = sorted(automaton.score(v) for v in own[cut:])
-            kinds.append((automaton, scores[len(scores) // 20]))
-    plain = strings(found.select(F.explode("runs").alias("v")).select(F.substring("v.value", 1, 512).alias("value")))
+            kinds.append((automaton, min(automaton.score(v) for v in own[cut:]) - SLACK))
+    plain = strings(found.where("plain is not null").select(F.substring("plain", 1, 512).alias("value")))
     return Grammars(kinds, Automaton(plain) if len(plain) >= 5 else None)
 
 
