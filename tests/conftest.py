@@ -6,7 +6,7 @@ import pytest
 HERE = os.path.dirname(os.path.abspath(__file__))
 sys.path[:0] = [os.path.dirname(HERE), HERE]
 
-from tidewatch.session import GROUP_ROWS, local_session  # noqa: E402
+from tidewatch.session import local_session  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -20,11 +20,12 @@ def spark():
 
 
 @pytest.fixture
-def tiny_groups(spark):
-    """Make every group too large for one task, so that the sliced way is taken."""
-    spark.conf.set(GROUP_ROWS, "3")
+def many_slices(spark):
+    """Keep every range apart, so that small groups are spread over several slices."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
     yield
-    spark.conf.unset(GROUP_ROWS)
+    spark.conf.unset(name)
 
 
 def make_packets(spark, rows):

@@ -54,7 +54,7 @@ def numpy_statistics(times, lengths, second):
 @pytest.mark.parametrize("sliced", [False, True])
 def test_statistics_match_numpy_in_both_ways(packet_table, request, sliced):
     if sliced:
-        request.getfixturevalue("tiny_groups")
+        request.getfixturevalue("many_slices")
     rows = random_packets()
     out = ops.flow_statistics(packet_table(rows)).collect()
     for r in out:
@@ -73,7 +73,7 @@ def test_bidirectional_microbins(packet_table):
 @pytest.mark.parametrize("sliced", [False, True])
 def test_gaps_run_across_bins_and_never_go_negative(packet_table, request, sliced):
     if sliced:
-        request.getfixturevalue("tiny_groups")
+        request.getfixturevalue("many_slices")
     rows = [packet(0.100, length=60), packet(0.110, length=100), packet(0.140, length=80), packet(0.130, length=10), packet(1.5, length=10)]
     out = {r["window_index"]: r["features"] for r in ops.microbins_iat(packet_table(rows), 1.0, 1).collect()}
     assert list(out[0][0][:3]) == [4, 250, 62.5]
@@ -98,7 +98,7 @@ def test_canonical_order_is_numeric_not_textual(packet_table):
 @pytest.mark.parametrize("sliced", [False, True])
 def test_row_numbers_follow_second_then_key(packet_table, request, sliced):
     if sliced:
-        request.getfixturevalue("tiny_groups")
+        request.getfixturevalue("many_slices")
     flows = ops.number_flows(ops.flow_statistics(packet_table(random_packets()))).collect()
     ordered = sorted(flows, key=lambda r: (r["timestamp_second"], r["src_ip"], r["dst_ip"], r["src_port"], r["dst_port"]))
     assert [r["row_id"] for r in ordered] == list(range(len(flows)))
@@ -121,3 +121,11 @@ def test_unknown_labels_are_refused(spark):
     none = spark.createDataFrame([("train", "attack")], "split string, label_class string")
     with pytest.raises(ValueError):
         keys.require_normal(none, "train")
+
+
+def test_captures_too_short_to_split_are_refused(spark):
+    rows = spark.createDataFrame([("whole", 1), ("whole", 2), ("short", 7), ("short", 7)], "capture_id string, at long")
+    with pytest.raises(ValueError, match="short"):
+        ops.split_calibration(rows.withColumnRenamed("at", "window_index"), 0.5)
+    with pytest.raises(ValueError, match="short"):
+        ops.split_seconds(rows.withColumnRenamed("at", "timestamp_second"), 0.25)

@@ -55,7 +55,7 @@ def test_counts_match_brute_force(events):
 @pytest.mark.parametrize("current", [False, True])
 def test_samples_are_full_valid_and_free_of_repeats(events, request, sliced, current):
     if sliced:
-        request.getfixturevalue("tiny_groups")
+        request.getfixturevalue("many_slices")
     got = {}
     for r in graph.sample_relations(events, K, H, 7, current).collect():
         got.setdefault(r["event_id"], {}).setdefault(r["relation"], []).append(r["neighbor"])
@@ -83,7 +83,7 @@ def test_samples_are_spread_evenly(spark):
 @pytest.mark.parametrize("sliced", [False, True])
 def test_private_chain_and_edge_times(events, request, sliced):
     if sliced:
-        request.getfixturevalue("tiny_groups")
+        request.getfixturevalue("many_slices")
     chain = graph.private_chain(events, H, 3, 2)
     got = {}
     for r in chain.collect():
@@ -175,7 +175,7 @@ def test_attention_prunes_pairs(spark):
 @pytest.mark.parametrize("sliced", [False, True])
 def test_causal_response(packet_table, request, sliced):
     if sliced:
-        request.getfixturevalue("tiny_groups")
+        request.getfixturevalue("many_slices")
     a, b = "10.0.0.1", "10.0.0.2"
     rows = [
         (1.000, a, b, 1, 2, "tcp", 60, 1), (1.004, b, a, 2, 1, "tcp", 60, 0), (1.020, b, a, 2, 1, "tcp", 60, 0),

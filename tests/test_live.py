@@ -28,15 +28,34 @@ def closed(df, last):
 def test_stream_equals_batch_over_several_triggers(feed):
     batch, stream = feed
     last = batch.agg(F.max("ts")).first()[0]
-    merged = [c for c in FLOW_STATISTICS if not c.startswith("iat_") or c == "iat_mean"]
     key = ["timestamp_second", "src_ip", "dst_ip", "dst_port"]
-    rows = lambda df: {tuple(r[k] for k in key): [r[c] for c in merged] for r in df.collect()}
+    rows = lambda df: {tuple(r[k] for k in key): [r[c] for c in FLOW_STATISTICS] for r in df.collect()}
     got, expected = rows(run_available(live.stream_flows(stream), "t")), rows(closed(flow_statistics(batch), last))
     assert got.keys() == expected.keys() and len(got) > 50
     for k in got:
         assert got[k] == pytest.approx(expected[k], abs=1e-6)
 
 
+def test_bounded_stream_gives_its_last_windows(feed):
+    batch, _ = feed
+    stream = as_stream(batch, "whole", end={"ts": F.lit(1e9)})
+    out = run_available(live.stream_flows(stream), "whole")
+    assert out.agg(F.sum("packet_count")).first()[0] == batch.count()
+    assert out.count() == flow_statistics(batch).count()
+
+
+def test_late_rows_of_early_triggers_are_not_forgotten(spark, packet_table, tmp_path):
+    times = [1.0, 50.0, 2.0, *[60.0 + i for i in range(110)]]
+    df = packet_table([(t, "a", "b", 1, 2, "udp", 60, 0) for t in times])
+    names = []
+    for name, at in zip((f"f{i:03d}" for i in range(len(times))), range(len(times))):
+        df.where(F.col("frame_number") == at + 1).coalesce(1).toPandas().to_parquet(str(tmp_path / f"{name}.parquet"), index=False)
+        names.append(name)
+    stream = stream_folder(spark, str(tmp_path), df.schema, 1)
+    with pytest.raises(ValueError, match="1 rows arrived later"):
+        run_available(live.stream_flows(stream), "many")
+
+
 def test_late_packets_are_refused(spark, packet_table, tmp_path):
     rows = [(t, "a", "b", 1, 2, "udp", 60, 0) for t in (1.0, 9.0, 20.0, 2.0, 30.0)]
     df = packet_table(rows)

@@ -22,19 +22,27 @@ def groups():
     return {k: sorted(rows) for k, rows in out.items()}
 
 
-def test_sliced_way_is_taken(skewed, tiny_groups):
-    rows, cut = ordered.slice_groups(skewed, ["k"], ["at"])
-    assert cut and rows.where("k = 'hot'").select("_slice").distinct().count() > 1
+def test_hot_group_is_spread(skewed, many_slices):
+    rows = ordered.slice_groups(skewed, ["k"], ["at"])
+    assert rows.where("k = 'hot'").select("_slice").distinct().count() > 1
+
+
+def test_null_keys_form_a_group(spark, many_slices):
+    rows = spark.createDataFrame([(None, 1, 2.0), ("a", 1, 1.0), (None, 2, 3.0), (None, 3, 4.0)], "k string, at long, v double")
+    sums = {(r["k"], r["at"]): r["s"] for r in ordered.running_sums(rows, ["k"], ["at"], {"s": F.col("v")}).collect()}
+    assert sums == {(None, 1): 0, (None, 2): 2, (None, 3): 5, ("a", 1): 0}
+    totals = {(r["k"], r["at"]): r["t"] for r in ordered.group_totals(rows, ["k"], {"t": F.sum("v")}).collect()}
+    assert totals == {(None, 1): 9, (None, 2): 9, (None, 3): 9, ("a", 1): 1}
 
 
 @pytest.mark.parametrize("sliced", [False, True])
 def test_running_previous_and_last(skewed, request, sliced):
     if sliced:
-        request.getfixturevalue("tiny_groups")
+        request.getfixturevalue("many_slices")
     out = ordered.running_sums(skewed, ["k"], ["at"], {"s": F.col("v")})
     out = ordered.running_max(out, ["k"], ["at"], F.col("v"), "m")
     out = ordered.previous_row(out, ["k"], ["at"], ["v"], "p")
-    out = ordered.last_known(out, ["k"], ["at"], F.when(F.col("v") > 50, F.col("at")), "l")
+    out = ordered.last_known(out, ["k"], ["at"], {"l": F.when(F.col("v") > 50, F.col("at"))})
     got = {(r["k"], r["at"]): r for r in out.collect()}
     assert len(got) == len(SKEWED)
     for k, rows in groups().items():
@@ -51,7 +59,7 @@ def test_running_previous_and_last(skewed, request, sliced):
 @pytest.mark.parametrize("method", ["linear", "higher"])
 def test_exact_quantiles(skewed, request, sliced, method):
     if sliced:
-        request.getfixturevalue("tiny_groups")
+        request.getfixturevalue("many_slices")
     out = ordered.exact_quantiles(skewed, ["k"], "v", {"a": 0.25, "b": 0.95, "c": 1.0}, method)
     for r in out.collect():
         values = [v for _, v in groups()[r["k"]]]
@@ -93,3 +101,12 @@ def test_decayed_history_reads_before_update(spark):
 def test_model_tables_are_refused_when_large(spark):
     with pytest.raises(ValueError):
         bounded_rows(spark.range(10), 5)
+
+
+def test_no_row_is_lost_by_ranks(spark):
+    known = spark.createDataFrame([("x", 1.0), ("x", 2.0), ("x", None)], "role string, v double")
+    rows = spark.createDataFrame([("x", 2.0), ("x", None), ("y", 5.0), (None, 1.0)], "role string, v double")
+    got = {(r["role"], r["v"]): r["cdf"] for r in ecdf(known, rows, "v", ["role"]).collect()}
+    assert got == {("x", 2.0): pytest.approx(2 / 3), ("x", None): None, ("y", 5.0): 0.0, (None, 1.0): 0.0}
+    tails = {(r["role"], r["v"]): r["tail_p"] for r in tail_evidence(known, rows, "v", ["role"]).collect()}
+    assert tails == {("x", 2.0): pytest.approx(2 / 3), ("x", None): None, ("y", 5.0): 1.0, (None, 1.0): 1.0}

@@ -29,7 +29,7 @@ def test_tied_scores(spark):
 @pytest.mark.parametrize("sliced", [False, True])
 def test_curves_match_plain_counting(spark, request, sliced):
     if sliced:
-        request.getfixturevalue("tiny_groups")
+        request.getfixturevalue("many_slices")
     rng = np.random.default_rng(2)
     scores, labels = rng.integers(0, 25, 300).astype(float), rng.integers(0, 2, 300)
     steps = metrics.score_steps(scored(spark, labels, scores))

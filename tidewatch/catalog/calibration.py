@@ -172,31 +172,38 @@ def f11_radial_response(spark, sf):
 
 @query("f12_mixture_selection")
 def f12_mixture_selection(spark, sf):
-    rows = embedding_flows(spark, sf).select(F.slice("embedding", 1, 4).alias("v"))
-    return ops.select_mixture(rows, "v", 3)[1]
+    return ops.select_mixture(embedding_flows(spark, sf), "embedding", 3)[1]
 
 
-_D = 6
+@query("f12_single_component", ctes("eflows", ("fx", "SELECT unnest(range(64)) AS dim, unnest(embedding) AS x FROM eflows"),
+    ("fv", "SELECT dim, greatest(var_pop(x), 1e-4) AS v, var_pop(x) AS raw, count(*) AS n FROM fx GROUP BY 1")) + f"""
+SELECT 1 AS k, {grid_sql("sum(n * (ln(2 * pi()) + ln(v) + raw / v)) + 128 * ln(max(n))", 3)} AS bic FROM fv""")
+def f12_single_component(spark, sf):
+    table = ops.select_mixture(embedding_flows(spark, sf), "embedding", 1)[1]
+    return table.select(F.col("k").cast("long").alias("k"), grid("bic", 3).alias("bic"))
+
+
+_D = 64
 
 
 def _mixture(spark, sf):
-    """Two roles with the labels 0-2 and 3-5 as diagonal components."""
+    """Two roles with the labels 0-4 and 5-9 as diagonal components."""
     v = [F.get("embedding", i) for i in range(_D)]
-    stats = embedding_flows(spark, sf).where("mode_id < 6").groupBy("mode_id").agg(
+    stats = embedding_flows(spark, sf).groupBy("mode_id").agg(
         F.array(*[F.avg(x) for x in v]).alias("m"), F.array(*[F.greatest(F.lit(1e-4), F.var_pop(x)) for x in v]).alias("v"), F.count("*").alias("n"))
-    rows = sorted(bounded_rows(stats, 6), key=lambda r: r["mode_id"])
+    rows = sorted(bounded_rows(stats, 10), key=lambda r: r["mode_id"])
     out = []
     for role in (0, 1):
-        parts = [r for r in rows if r["mode_id"] // 3 == role]
+        parts = [r for r in rows if r["mode_id"] // 5 == role]
         size = sum(r["n"] for r in parts)
         out.append({"role": role, "parts": [{"w": r["n"] / size, "m": list(r["m"]), "v": list(r["v"])} for r in parts]})
     return out
 
 
 _MIX = (("mx", f"SELECT row_id, mode_id, unnest(range({_D})) AS dim, unnest(embedding[1:{_D}]) AS x FROM eflows"),
-    ("mp", "SELECT mode_id, dim, avg(x) AS m, greatest(1e-4, var_pop(x)) AS v FROM mx WHERE mode_id < 6 GROUP BY ALL"),
-    ("mn", "SELECT mode_id, mode_id // 3 AS role, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY mode_id // 3) AS w FROM eflows WHERE mode_id < 6 GROUP BY mode_id"),
-    ("ml", f"""SELECT row_id, n.role, n.mode_id - n.role * 3 AS k, ln(max(w)) - 0.5 * (sum((x - m) * (x - m) / v + ln(v)) + {_D} * ln(2 * pi())) AS l
+    ("mp", "SELECT mode_id, dim, avg(x) AS m, greatest(1e-4, var_pop(x)) AS v FROM mx GROUP BY ALL"),
+    ("mn", "SELECT mode_id, mode_id // 5 AS role, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY mode_id // 5) AS w FROM eflows GROUP BY mode_id"),
+    ("ml", f"""SELECT row_id, n.role, n.mode_id - n.role * 5 AS k, ln(max(w)) - 0.5 * (sum((x - m) * (x - m) / v + ln(v)) + {_D} * ln(2 * pi())) AS l
 FROM mx JOIN mp USING (dim) JOIN mn n ON n.mode_id = mp.mode_id GROUP BY row_id, n.role, n.mode_id"""),
     ("mt", "SELECT *, max(l) OVER (PARTITION BY row_id, role) AS t FROM ml"),
     ("mr", "SELECT row_id, role, -(max(t) + ln(sum(exp(l - t)))) AS raw, arg_max(k, l) AS regime FROM mt GROUP BY ALL"))

@@ -11,25 +11,26 @@ from tidewatch.streaming import live
 from tidewatch.streaming.run import as_stream, relay, run_available
 
 W = SHORT_WINDOW
-# A window is closed when its end is not after the last event time minus two seconds.
-_CLOSED = f"timestamp_second + {W} <= (SELECT max(ts) - 2 FROM packets)"
+# The last row of a bounded stream, in the year 9000: every window before it closes.
+_END = 221_845_392_000
 RULE = HistoryRule(alpha=0.2, global_mean=(0.0,) * 64)
 
 
-def _packet_stream(spark, sf):
-    return as_stream(packets(spark, sf), "packets")
+def _last():
+    return {"event_time": F.timestamp_seconds(F.lit(_END))}
 
 
-_MERGED = [c for c in FLOW_STATISTICS if not c.startswith("iat_") or c == "iat_mean"]
+def _packet_stream(spark, sf):
+    return as_stream(packets(spark, sf), "packets", end={"ts": F.lit(float(_END))})
 
 
 @query("t1_stream_flows", ctes("sflows") + f"""
 SELECT capture_id, timestamp_second, src_ip, dst_ip, protocol, CAST(src_port AS BIGINT) AS src_port, CAST(dst_port AS BIGINT) AS dst_port,
-  {grids_sql(*_MERGED, digits=3)} FROM sflows WHERE {_CLOSED}""")
+  {grids_sql(*FLOW_STATISTICS, digits=3)} FROM sflows""")
 def t1_stream_flows(spark, sf):
     out = run_available(live.stream_flows(_packet_stream(spark, sf), W), "flows")
     ports = [F.col(c).cast("long").alias(c) for c in ("src_port", "dst_port")]
-    return out.select("capture_id", "timestamp_second", "src_ip", "dst_ip", "protocol", *ports, *grids(*_MERGED, digits=3))
+    return out.select("capture_id", "timestamp_second", "src_ip", "dst_ip", "protocol", *ports, *grids(*FLOW_STATISTICS, digits=3))
 
 
 @query("t1_late_packets", ctes("packets", ("o", """
@@ -46,7 +47,7 @@ def t1_late_packets(spark, sf):
 @query("t2_stream_new_peers", ctes("packets", ("c", f"""
 SELECT capture_id, src_ip, CASE WHEN protocol = 'tcp' THEN 0 ELSE 1 END AS role, dst_ip, CAST(floor(ts / {W}.0) AS BIGINT) * {W} AS timestamp_second, count(*) AS flows FROM packets GROUP BY ALL"""),
     ("n", "SELECT *, timestamp_second = min(timestamp_second) OVER (PARTITION BY capture_id, src_ip, role, dst_ip) AS new_peer FROM c")) + f"""
-SELECT capture_id, src_ip, CAST(role AS BIGINT) AS role, dst_ip, timestamp_second, flows, new_peer FROM n WHERE {_CLOSED}""")
+SELECT capture_id, src_ip, CAST(role AS BIGINT) AS role, dst_ip, timestamp_second, flows, new_peer FROM n""")
 def t2_stream_new_peers(spark, sf):
     role = F.when(F.col("protocol") == "tcp", 0).otherwise(1)
     cells = relay(live.peer_cells(_packet_stream(spark, sf), W, role), "peer-cells")
@@ -57,18 +58,18 @@ def t2_stream_new_peers(spark, sf):
 @query("t3_stream_history")
 def t3_stream_history(spark, sf):
     rows = embedding_flows(spark, sf).withColumn("event_time", F.timestamp_seconds(F.col("window_index") * 3 + 1))
-    cells = relay(live.pair_cells(as_stream(rows, "embedded"), 3), "pair-cells")
+    cells = relay(live.pair_cells(as_stream(rows, "embedded", end=_last()), 3), "pair-cells")
     folded = relay(live.stream_pair_history(cells, RULE), "pair-history")
     return run_available(live.stream_entity_history(folded, RULE), "entity-history")
 
 
 @query("t4_stream_intensity", ctes("sflows", *ACTIVITY, *INTENSITY) + f"""
 SELECT capture_id, node, CAST(direction AS BIGINT) AS direction, timestamp_second, CAST(behaviour AS BIGINT) AS behaviour, CAST(hl AS BIGINT) AS history_length,
-  {grid_sql("mass_raw", 4)} AS mass_raw FROM scored_cells WHERE timestamp_second + {W} <= (SELECT max(timestamp_second) + 1 - 2 FROM sflows)""")
+  {grid_sql("mass_raw", 4)} AS mass_raw FROM scored_cells""")
 def t4_stream_intensity(spark, sf):
     flows = _flows(spark, sf).select("capture_id", "src_ip", "dst_ip", "behaviour", "packet_count", "byte_count",
                                      F.timestamp_seconds(F.col("timestamp_second") + 1).alias("event_time"))
-    cells = relay(live.activity_cells(as_stream(flows, "flows"), W), "activity-cells")
+    cells = relay(live.activity_cells(as_stream(flows, "flows", end=_last()), W), "activity-cells")
     out = run_available(live.stream_intensity(cells, W, SPAN), "intensity")
     return out.select("capture_id", "node", F.col("direction").cast("long").alias("direction"), "timestamp_second",
                       F.col("behaviour").cast("long").alias("behaviour"), "history_length", grid("mass_raw", 4).alias("mass_raw"))
@@ -92,7 +93,7 @@ def t5_stream_clocks(spark, sf):
 
 @query("t6_tumbling_windows", ctes("packets", ("c", f"""
 SELECT capture_id, CAST(floor(ts / {W}.0) AS BIGINT) * {W} AS timestamp_second, count(*) AS packets, CAST(sum(wire_length) AS BIGINT) AS bytes FROM packets GROUP BY ALL""")) + f"""
-SELECT * FROM c WHERE {_CLOSED}""")
+SELECT * FROM c""")
 def t6_tumbling_windows(spark, sf):
     rows = live.tumble(live.with_event_time(_packet_stream(spark, sf)), W)
     counts = rows.groupBy("capture_id", "window").agg(F.count(F.lit(1)).alias("packets"), F.sum(F.col("wire_length").cast("long")).alias("bytes"))

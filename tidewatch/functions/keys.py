@@ -124,15 +124,18 @@ def normal_rows(df: DataFrame, split: str, label: str = "label_class") -> DataFr
     return df.where((F.col("split") == split) & (F.col(label) == "normal"))
 
 
+def normal_counts(df: DataFrame, split: str, label: str = "label_class") -> DataFrame:
+    """One row: rows of the split that a normal-only fit may see, and those it may not."""
+    normal = F.coalesce(F.col(label) == "normal", F.lit(False))
+    return df.where(F.col("split") == split).agg(F.count_if(normal).alias("kept"), F.count_if(~normal).alias("excluded"))
+
+
 def require_normal(df: DataFrame, split: str, label: str = "label_class") -> DataFrame:
-    """As `normal_rows`, and an error when nothing is left; excluded rows are observed."""
-    chosen = df.where(F.col("split") == split)
-    kept = chosen.observe(
-        "require_normal", F.count_if(F.col(label) != "normal").alias("excluded")
-    ).where(F.col(label) == "normal")
-    if kept.isEmpty():
-        raise ValueError(f"no normal rows in split {split!r}")
-    return kept
+    """As `normal_rows`, and an error that tells the excluded count when nothing is left."""
+    counts = normal_counts(df, split, label).first()
+    if not counts["kept"]:
+        raise ValueError(f"no normal rows in split {split!r}; {counts['excluded']} others were excluded")
+    return normal_rows(df, split, label)
 
 
 UNLABELED = "__unlabeled__"
@@ -149,9 +152,11 @@ def label_class(label: Column, normal: Sequence[str], attack: Sequence[str]) ->
 
 
 def reject_unknown_labels(df: DataFrame, label: str, normal: Sequence[str], attack: Sequence[str]) -> DataFrame:
-    unknown = df.where(label_class(F.col(label), normal, attack).isNull()).select(label).distinct().limit(5).collect()
-    if unknown:
-        raise ValueError(f"labels that are neither normal nor attack: {[r[0] for r in unknown]}")
+    unknown = df.where(label_class(F.col(label), normal, attack).isNull()).select(label).distinct()
+    found = unknown.agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_list(label)), 1, 5).alias("first")).first()
+    if found["n"]:
+        more = f" and {found['n'] - 5} more" if found["n"] > 5 else ""
+        raise ValueError(f"labels that are neither normal nor attack: {found['first']}{more}")
     return df
 
 

@@ -225,11 +225,10 @@ def event_clocks(events: DataFrame, banned: Column | None = None) -> DataFrame:
     order = ["first_packet_time", "event_id"]
     mark = F.when(counted, F.struct(F.col("first_packet_time").alias("time"), F.col("event_id").alias("event")))
     events = events.withColumn("_counted", counted)
-    known = last_known(events, ["capture_id", *FLOW_IDENTITY], order, mark, "_own")
+    known = last_known(events, ["capture_id", *FLOW_IDENTITY], order, {"_own": mark})
     known = known.withColumn("new_connection", F.col("_own").isNull())
-    fresh = last_known(
-        known.where("new_connection"), ["capture_id", "src_ip", "dst_ip", "behaviour"], order,
-        F.when(F.col("_counted"), F.struct(F.col("first_packet_time").alias("time"), F.col("event_id").alias("event"))), "_prior")
+    again = F.when(F.col("_counted"), F.struct(F.col("first_packet_time").alias("time"), F.col("event_id").alias("event")))
+    fresh = last_known(known.where("new_connection"), ["capture_id", "src_ip", "dst_ip", "behaviour"], order, {"_prior": again})
     older = known.where("NOT new_connection").withColumn("_prior", F.col("_own"))
     both = fresh.unionByName(older)
     return both.withColumns({

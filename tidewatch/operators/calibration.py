@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.vectors import bind, log_sum_exp, norm, smooth_max, squared_distance, total
-from tidewatch.operators.ordered import exact_quantiles, row_positions, running_sums
+from tidewatch.operators.ordered import exact_quantiles, row_positions, running_sums, same_keys
 from tidewatch.session import bounded_rows
 
 
@@ -80,18 +80,21 @@ def rank_against(calibration: DataFrame, rows: DataFrame, value: str, by: Sequen
     """For each row: calibration values below it, equal to it, and in total.
 
     Both sides are first reduced to distinct values, merged and summed along the
-    value order, so equal scores never travel together.
+    value order, so equal scores never travel together. Null calibration values do not
+    count. Every row stays: one with a null value has null ranks, one whose group has no
+    calibration has a total of zero.
     """
     by = list(by)
+    calibration = calibration.where(F.col(value).isNotNull())
     known = calibration.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_cal"))
-    asked = rows.select(*by, value).distinct().withColumn("_cal", F.lit(0).cast("long"))
+    asked = rows.where(F.col(value).isNotNull()).select(*by, value).distinct().withColumn("_cal", F.lit(0).cast("long"))
     merged = known.unionByName(asked).groupBy(*by, value).agg(F.sum("_cal").alias("cal_equal"))
     ranked = running_sums(merged, by, [value], {"cal_below": F.col("cal_equal")})
+    out = same_keys(rows, ranked, [*by, value])
     if by:
-        ranked = ranked.join(calibration.groupBy(*by).agg(F.count(F.lit(1)).alias("cal_total")), by)
-    else:
-        ranked = ranked.withColumn("cal_total", calibration.agg(F.count(F.lit(1))).scalar())
-    return rows.join(ranked, [*by, value])
+        out = same_keys(out, calibration.groupBy(*by).agg(F.count(F.lit(1)).alias("cal_total")), by)
+        return out.withColumn("cal_total", F.coalesce("cal_total", F.lit(0).cast("long")))
+    return out.withColumn("cal_total", calibration.agg(F.count(F.lit(1))).scalar())
 
 
 def tail_probability() -> Column:
@@ -106,7 +109,7 @@ def tail_evidence(calibration: DataFrame, rows: DataFrame, value: str, by: Seque
 
 
 def ecdf(calibration: DataFrame, rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Right-sided #<=x / (n + 1)."""
+    """Right-sided #<=x / (n + 1); 0 without calibration, null for a null value."""
     ranked = rank_against(calibration, rows, value, by)
     return ranked.withColumn("cdf", (F.col("cal_below") + F.col("cal_equal")) / (F.col("cal_total") + 1)).drop(
         "cal_below", "cal_equal", "cal_total")
@@ -156,16 +159,18 @@ def local_score(distance: Column, error: Column, kind: str = "reconstruction_pro
 MOST_PROTOTYPES = 1_024  # a model, not data: bounded by the requested count
 
 
-def fit_prototypes(rows: DataFrame, vector: str, count: int, seed: int = 42) -> list[list[float]]:
-    """Centers of a distributed k-means; the count is capped at the number of rows."""
+def fit_prototypes(
+    rows: DataFrame, vector: str, count: int, seed: int = 42, max_iter: int = 20, most: int = MOST_PROTOTYPES
+) -> list[list[float]]:
+    """Centers of a distributed k-means; with fewer rows than `count`, as many as rows. More than `most` are refused."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    if not 0 < count <= MOST_PROTOTYPES:
-        raise ValueError(f"prototype count must lie in 1..{MOST_PROTOTYPES}")
+    if not 0 < count <= most:
+        raise ValueError(f"prototype count must lie in 1..{most}")
     available = rows.limit(count).count()
     features = rows.select(array_to_vector(vector).alias("features"))
-    model = KMeans(k=min(count, available), seed=seed, maxIter=20).fit(features) if available > 1 else None
+    model = KMeans(k=min(count, available), seed=seed, maxIter=max_iter).fit(features) if available > 1 else None
     if model is None:
         return [list(r[0]) for r in rows.select(vector).head(1)]
     return [[float(x) for x in c] for c in model.clusterCenters()]
@@ -222,43 +227,58 @@ def radial_response(vector: Column, centers: Sequence[Sequence[float]], widths:
 
 # Mixtures ---------------------------------------------------------------------
 
-def select_mixture(rows: DataFrame, vector: str, most: int, seed: int = 42):
-    """Gaussian mixture with the lowest BIC over k = 1..most (full covariance).
+def fit_mixture(rows: DataFrame, vector: str, k: int, seed: int = 42, max_iter: int = 150, floor: float = 1e-4, tol: float = 1e-3):
+    """Diagonal Gaussian mixture by distributed EM: (parts [w, m, v], log likelihood).
 
-    Returns (model, table of k and bic)."""
-    from pyspark.ml.clustering import GaussianMixture
+    A step is one aggregation over the rows: responsibilities are column expressions, the
+    weighted moments of each component are merged map-side. Variances have a floor. It ends
+    when the mean log likelihood rises by less than `tol`.
+    """
     from pyspark.ml.functions import array_to_vector
-
-    data = rows.select(array_to_vector(vector).alias("features"))
-    n = data.count()
+    from pyspark.ml.stat import Summarizer
+
+    data = rows.select(F.col(vector).alias("_v"), array_to_vector(vector).alias("_f"))
+
+    def moments(row) -> tuple[float, list[float], list[float]]:
+        weight, mean, norm = row["weightSum"], row["mean"].toArray(), row["normL2"].toArray()
+        return weight, mean.tolist(), [max(floor, n * n / weight - m * m) for n, m in zip(norm, mean)]
+
+    parts_of = Summarizer.metrics("mean", "normL2", "weightSum")
+    n, mean, spread = moments(data.select(parts_of.summary(F.col("_f"), F.lit(1.0)).alias("s")).head(1)[0][0])
+    centers = fit_prototypes(rows, vector, k, seed) if k > 1 else [mean]
+    parts = [{"w": 1.0 / len(centers), "m": c, "v": spread} for c in centers]
+    before = None
+    for _ in range(max_iter + 1):
+        logs = _component_logs(F.col("_v"), constant(parts, "array<struct<w: double, m: array<double>, v: array<double>>>"))
+        shared = data.withColumn("_l", logs).withColumn("_t", log_sum_exp(F.col("_l")))
+        sums = [parts_of.summary(F.col("_f"), F.exp(F.get("_l", i) - F.col("_t"))).alias(f"s{i}") for i in range(len(parts))]
+        row = shared.agg(F.sum("_t").alias("likelihood"), *sums).head(1)[0]
+        value = row["likelihood"] / n
+        if before is not None and value - before < tol:
+            break
+        before = value
+        # A component that lost all its rows is dropped.
+        found = [moments(row[f"s{i}"]) for i in range(len(parts)) if row[f"s{i}"]["weightSum"] > 1e-9]
+        parts = [{"w": w / n, "m": m, "v": v} for w, m, v in found]
+    return parts, row["likelihood"]
+
+
+def select_mixture(rows: DataFrame, vector: str, most: int, seed: int = 42, max_iter: int = 150, floor: float = 1e-4):
+    """Diagonal Gaussian mixture with the lowest BIC over k = 1..most.
+
+    Returns (parts for `mixture_score` and `mixture_nll`, table of k and bic)."""
+    n = rows.count()
     if n < 2:
         raise ValueError("a mixture needs at least two rows")
     dims = rows.select(F.size(vector)).head(1)[0][0]
     best, tried = None, []
     for k in range(1, min(most, n // 2) + 1):
-        model = GaussianMixture(k=k, seed=seed, maxIter=50).fit(data) if k > 1 else _single_gaussian(data, dims)
-        likelihood = model.summary.logLikelihood if k > 1 else model["log_likelihood"]
-        free = k * dims + k * dims * (dims + 1) // 2 + k - 1
-        bic = -2.0 * likelihood + free * math.log(n)
+        parts, likelihood = fit_mixture(rows, vector, k, seed, max_iter, floor)
+        bic = -2.0 * likelihood + (2 * k * dims + k - 1) * math.log(n)
         tried.append((k, float(bic)))
         if best is None or bic < best[0]:
-            best = (bic, k, model)
-    return best[2], rows.sparkSession.createDataFrame(tried, "k int, bic double")
-
-
-def _single_gaussian(data: DataFrame, dims: int) -> dict:
-    """One full-covariance component from distributed moments."""
-    import numpy as np
-    from pyspark.ml.stat import Correlation, Summarizer
-
-    row = data.select(
-        Summarizer.metrics("mean", "variance", "count").summary(F.col("features")).alias("s")).head(1)[0][0]
-    n = row["count"]
-    std = np.sqrt(np.asarray(row["variance"].toArray()) * (n - 1) / n)
-    corr = Correlation.corr(data, "features").head(1)[0][0].toArray()
-    cov = np.nan_to_num(corr) * np.outer(std, std) + 1e-6 * np.eye(dims)
-    _, logdet = np.linalg.slogdet(cov)
-    return {"mean": row["mean"].toArray(), "cov": cov, "log_likelihood": float(-0.5 * n * (dims * math.log(2 * math.pi) + logdet + dims))}
+            best = (bic, parts)
+    return best[1], rows.sparkSession.createDataFrame(tried, "k int, bic double")
 
 
 MIXTURE_SCHEMA = "array<struct<role: int, parts: array<struct<w: double, m: array<double>, v: array<double>>>>>"

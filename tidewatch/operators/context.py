@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.keys import FLOW_IDENTITY, channel_id, pair_key
 from tidewatch.functions.vectors import dot, norm, total, vector_mean, vector_sum
 from tidewatch.operators.ordered import exact_quantiles, group_totals, previous_row, running_sums, trailing_window
+from tidewatch.session import shared_stage
 
 WINDOW_KEY = ["capture_id", "window_index"]
 
@@ -315,7 +316,11 @@ def relation_counts(benign: DataFrame) -> DataFrame:
 
 
 def relation_lookup(flows: DataFrame, counts: DataFrame) -> DataFrame:
-    """The six benign counts of each flow's relation, zero where never seen."""
+    """The six benign counts of each flow's relation, zero where never seen.
+
+    The counts are read six times, so they are written once.
+    """
+    counts = shared_stage(counts)
     for name, keys in RELATION_SETS.items():
         table = counts.where(F.col("granularity") == name).select(*keys, F.col("flows").alias(f"n_{name}"))
         flows = flows.join(table, keys, "left").withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0)))

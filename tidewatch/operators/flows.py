@@ -1,7 +1,7 @@
 """From packets to flow rows: segments, micro-bin tensors and flow statistics."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.keys import (
@@ -9,7 +9,7 @@ from tidewatch.functions.keys import (
     enough_packets, flow_key, micro_bin, tenth_bin, window_coords, with_ids,
 )
 from tidewatch.operators.ordered import (
-    exact_quantiles, groups_fit, previous_row, row_positions,
+    exact_quantiles, previous_row, row_positions, same_keys,
 )
 
 SEGMENT = ["capture_id", "window_index", *ENDPOINTS]
@@ -85,7 +85,7 @@ def microbins_iat(packets: DataFrame, window: float, bins: int, alignment: str =
     placed = placed.withColumn("bin", micro_bin(F.col("offset"), window / bins, bins))
     slim = placed.select(*SEGMENT, "bin", "frame_number", "ts", "wire_length")
     key = ["capture_id", *ENDPOINTS]
-    gaps = previous_row(slim, key, ["frame_number"], ["ts"], "_prev", fits=groups_fit(slim, key, narrow=True))
+    gaps = previous_row(slim, key, ["frame_number"], ["ts"], "_prev")
     gaps = gaps.withColumn("gap_ms", F.greatest(F.lit(0.0), (F.col("ts") - F.col("_prev.ts")) * 1000.0))
     gaps = gaps.withColumn("gap_ms", F.when(F.col("_prev").isNotNull(), F.col("gap_ms")))
     length = F.col("wire_length").cast("double")
@@ -146,8 +146,8 @@ def bin_columns() -> list[Column]:
 def flow_statistics(packets: DataFrame, window: int = 1, keep_bins: bool = False) -> DataFrame:
     """The 25 statistics of every directional flow of `window` seconds.
 
-    One shuffle on the flow key serves the gap window and the aggregation. A flow
-    too large for one task takes the sliced gap and the distributed quantiles.
+    Gaps come from slices of (flow, time), their quartiles from ranks of distinct gaps,
+    so that no flow has to fit into one task.
     """
     w = F.lit(float(window))
     start = F.floor(F.col("ts") / w)
@@ -156,24 +156,12 @@ def flow_statistics(packets: DataFrame, window: int = 1, keep_bins: bool = False
         "ts", "frame_number", F.col("wire_length").cast("int").alias("wire_length"), "binary_label",
         tenth_bin(F.col("ts") - start * w, window).alias("bin"),
     )
-    small = groups_fit(rows, FLOW, narrow=True)
-    if small:
-        ordered = Window.partitionBy(*FLOW).orderBy("ts", "frame_number")
-        rows = rows.withColumn("gap", F.col("ts") - F.lag("ts").over(ordered))
-    else:
-        rows = previous_row(rows, FLOW, ["ts", "frame_number"], ["ts"], "_prev", fits=False)
-        rows = rows.withColumn("gap", F.col("ts") - F.col("_prev.ts")).drop("_prev")
-    quarter = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    aggregates = mergeable_aggregates() + [
-        F.avg("gap").alias("_gm"), F.stddev_pop("gap").alias("_gs"), F.min("gap").alias("_g0"), F.max("gap").alias("_g1"),
-    ]
-    if small:
-        aggregates.append(F.percentile("gap", quarter).alias("_gq"))
-    flows = rows.groupBy(*FLOW).agg(*aggregates)
-    if not small:
-        gaps = exact_quantiles(rows, FLOW, "gap", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
-        gaps = gaps.select(*FLOW, F.array("q1", "q2", "q3").alias("_gq"))
-        flows = flows.join(gaps, FLOW, "left")
+    rows = previous_row(rows, FLOW, ["ts", "frame_number"], ["ts"], "_prev")
+    rows = rows.withColumn("gap", F.col("ts") - F.col("_prev.ts")).drop("_prev")
+    flows = rows.groupBy(*FLOW).agg(*mergeable_aggregates(), *[
+        F.avg("gap").alias("_gm"), F.stddev_pop("gap").alias("_gs"), F.min("gap").alias("_g0"), F.max("gap").alias("_g1")])
+    gaps = exact_quantiles(rows, FLOW, "gap", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    flows = same_keys(flows, gaps.select(*FLOW, F.array("q1", "q2", "q3").alias("_gq")), FLOW)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     bin_bytes = [F.col(f"_b{b}") for b in range(10)]
     bin_packets = [F.col(f"_p{b}") for b in range(10)]
@@ -239,10 +227,24 @@ def flow_slices(packets: DataFrame, seconds: int = 1) -> DataFrame:
     }).drop("_origin")
 
 
+def refuse_short(rows: DataFrame, unit: str, least: int, what: str) -> None:
+    """Raise when a capture has fewer than `least` distinct values of `unit`; names up to twenty of them."""
+    sizes = rows.groupBy("capture_id").agg(F.count_distinct(unit).alias("n"))
+    short = sizes.where(F.col("n") < least)
+    names = [str(r["capture_id"]) for r in short.orderBy("capture_id").limit(21).collect()]
+    if names:
+        more = " and others" if len(names) > 20 else ""
+        raise ValueError(f"{what}: fewer than {least} active in {', '.join(names[:20])}{more}")
+
+
 def split_calibration(rows: DataFrame, fraction: float) -> DataFrame:
-    """Per capture: the last max(1, round(f*n)) active windows become calibration."""
+    """Per capture: the last max(1, round(f*n)) active windows become calibration.
+
+    A capture with one active window leaves nothing to train on and is refused.
+    """
     if not 0.0 < fraction < 1.0:
         raise ValueError("calibration fraction must lie between zero and one")
+    refuse_short(rows, "window_index", 2, "calibration split needs windows for both parts")
     windows = rows.select("capture_id", "window_index").distinct()
     counts = windows.groupBy("capture_id").agg(F.count(F.lit(1)).alias("_n"))
     ranked = row_positions(windows, ["capture_id"], [F.desc("window_index")], "_back")
@@ -262,7 +264,11 @@ def _second_at(rows: DataFrame, by: list[str], position: Column) -> DataFrame:
 
 
 def split_seconds(rows: DataFrame, validation: float, halves: bool = True) -> DataFrame:
-    """Chronological train / held-out split; the held-out half calibrates parts, then the joint score."""
+    """Chronological train / held-out split; the held-out half calibrates parts, then the joint score.
+
+    A capture with one active second cannot be split and is refused.
+    """
+    refuse_short(rows, "timestamp_second", 2, "chronological split needs seconds for both parts")
     at = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(1.0 - validation)))
     cut = _second_at(rows, ["capture_id"], at)
     marked = rows.join(cut, "capture_id").withColumn(

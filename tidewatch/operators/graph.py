@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.vectors import squared_distance
-from tidewatch.operators.ordered import groups_fit, row_positions, running_sums, trailing_window
+from tidewatch.operators.ordered import row_positions, running_sums, trailing_window
 from tidewatch.session import shared_stage
 
 # Role relations of a candidate to the target's endpoints.
@@ -82,7 +82,7 @@ def relation_spans(events: DataFrame, history: int, slice_seconds: int = 1) -> D
 
 def incident_counts(events: DataFrame, history: int, slice_seconds: int = 1) -> DataFrame:
     """Candidates per target and relation in the history and in the same slice."""
-    return relation_spans(events, history, slice_seconds).select(*TARGET, "relation", "historical_count", "current_count")
+    return relation_spans(shared_stage(events), history, slice_seconds).select(*TARGET, "relation", "historical_count", "current_count")
 
 
 def private_chain(events: DataFrame, history: int, own: int = 8, reverse: int = 4, slice_seconds: int = 1) -> DataFrame:
@@ -90,6 +90,7 @@ def private_chain(events: DataFrame, history: int, own: int = 8, reverse: int =
 
     An event is listed once; on a self-addressed connection the own list goes first.
     """
+    events = shared_stage(events)  # read by the sequence, the requests and the result
     chained = with_chains(events)
     sequence = chained.select("capture_id", F.col("connection").alias("key"), "timestamp_second", "event_id", "first_packet_time")
     placed = row_positions(sequence, ["capture_id", "key"], ["timestamp_second", "event_id"], "at")
@@ -153,9 +154,7 @@ def sample_relations(events: DataFrame, k: int, history: int, seed: int, current
         # Skip the target's own place when it lies in this sequence.
         located = drawn.withColumn("at", F.when(F.col("own_at").isNotNull() & (at >= F.col("own_at")), at + 1).otherwise(at))
     else:
-        chain_rows = placed.select("capture_id", "key", F.col("connection").alias("chain"))
-        fits = groups_fit(asked, LANE, F.least(most, size)) and groups_fit(chain_rows, LANE)
-        located = _skip_chain(drawn, placed, fits)
+        located = _skip_chain(drawn, placed)
     found = placed.select("capture_id", "key", "at", F.col("event_id").alias("neighbor"),
                           F.col("first_packet_time").alias("neighbor_time"), F.col("timestamp_second").alias("neighbor_second"))
     edges = located.join(found, ["capture_id", "key", "at"]).select(
@@ -163,7 +162,7 @@ def sample_relations(events: DataFrame, k: int, history: int, seed: int, current
     return _first_free(edges, k)
 
 
-def _skip_chain(drawn: DataFrame, placed: DataFrame, fits: bool) -> DataFrame:
+def _skip_chain(drawn: DataFrame, placed: DataFrame) -> DataFrame:
     """Turn a rank among the events outside the excluded chain into a sequence position.
 
     A chain event at position p with chain index c has p - c foreign events before it.
@@ -177,7 +176,7 @@ def _skip_chain(drawn: DataFrame, placed: DataFrame, fits: bool) -> DataFrame:
     marks = indexed.select(*LANE, (F.col("at") - F.col("c")).alias("g"), F.lit(0).alias("kind"), F.col("event_id").alias("tie"),
                            F.lit(None).cast("bigint").alias("event_id"), F.lit(None).cast("int").alias("relation"), F.lit(None).cast("int").alias("turn"))
     asked = ranked.select(*LANE, "g", F.lit(1).alias("kind"), F.col("event_id").alias("tie"), "event_id", "relation", "turn")
-    merged = running_sums(marks.unionByName(asked), LANE, ["g", "kind", "tie", "relation", "turn"], {"skipped": (F.col("kind") == 0).cast("long")}, fits)
+    merged = running_sums(marks.unionByName(asked), LANE, ["g", "kind", "tie", "relation", "turn"], {"skipped": (F.col("kind") == 0).cast("long")})
     return merged.where("kind = 1").withColumn("at", F.col("g") + F.col("skipped"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.keys import FLOW_IDENTITY, canonical_key
-from tidewatch.operators.ordered import groups_fit, last_known
+from tidewatch.operators.ordered import last_known
 
 FRAME = ["capture_id", "frame_number"]
 
@@ -80,9 +80,7 @@ def causal_response(packets: DataFrame, tolerance: float) -> DataFrame:
     heads = F.struct(*[
         F.when(attack & ((F.col("direction") == d) | loop), F.col("ts")).alias(f"d{d}") for d in (0, 1)])
     rows = keyed.withColumn("_h", heads)
-    fits = groups_fit(keyed, shared, narrow=True)
-    for d in (0, 1):
-        rows = last_known(rows, shared, ["ts", "frame_number"], F.col(f"_h.d{d}"), f"_last{d}", fits)
+    rows = last_known(rows, shared, ["ts", "frame_number"], {f"_last{d}": F.col(f"_h.d{d}") for d in (0, 1)})
     other = F.when(F.col("direction") == 0, F.col("_last1")).otherwise(F.col("_last0"))
     answer = ~attack & other.isNotNull() & (F.col("ts") - other <= F.lit(float(tolerance)))
     return rows.withColumns({

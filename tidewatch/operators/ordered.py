@@ -1,11 +1,10 @@
 """Order-dependent building blocks that do not depend on small groups.
 
-Each block first asks how large the biggest group is, counted with map-side
-combine. Up to the session limit a plain window is used: one shuffle. Beyond it
-the rows are range-partitioned on (group, order), so that a group holding a third
-of the table is spread over many tasks. The slices are written once to the shared
-stage folder, and a table with one row per (group, slice) carries sums or last
-rows from slice to slice.
+There is one way for every size. Rows are range-partitioned on (group, order), so that a
+group holding a third of the table is spread over many tasks; adaptive execution merges the
+ranges of a small table into a few. The slices are written once to the shared stage folder,
+and a table with one row per (group, slice) carries sums or last rows from slice to slice.
+Keys are compared null-safe: rows with a null key form a group of their own.
 """
 from __future__ import annotations
 
@@ -14,36 +13,24 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.session import group_row_limit, shared_stage
+from tidewatch.session import shared_stage
 
 SLICE = "_slice"
 
 
-def groups_fit(df: DataFrame, by: Sequence[str], weight: Column | None = None, narrow: bool = False) -> bool:
-    """True when no group of `by` has more rows than one task should sort.
-
-    `weight` gives the rows each row will turn into, when they are not made yet.
-    `narrow` marks a plain scan with filters: there the row count reads almost no
-    column, and a table below the limit needs no further look.
-    """
-    limit = group_row_limit(df.sparkSession)
-    if narrow and df.count() <= limit:
-        return True
-    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    sizes = df.groupBy(*by).agg(rows.alias("_n"))
-    return sizes.where(F.col("_n") > limit).isEmpty()
+def slice_groups(df: DataFrame, by: Sequence[str], order: Sequence) -> DataFrame:
+    """Add a slice number; within a group, slices follow each other in `order`."""
+    ranged = df.repartitionByRange(*by, *order)
+    return shared_stage(ranged.withColumn(SLICE, F.spark_partition_id()))
 
 
-def slice_groups(df: DataFrame, by: Sequence[str], order: Sequence, fits: bool | None = None) -> tuple[DataFrame, bool]:
-    """Add a slice number; within a group, slices follow each other in `order`.
-
-    `fits` passes on a size check the caller has already made.
-    """
-    if groups_fit(df, by) if fits is None else fits:
-        return df.withColumn(SLICE, F.lit(0)), False
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *by, *order)
-    return shared_stage(ranged.withColumn(SLICE, F.spark_partition_id())), True
+def same_keys(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on `keys` with null equal to null; the keys come from `rows`."""
+    other = table.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in table.columns if c not in keys])
+    meet = F.lit(True)
+    for i, k in enumerate(keys):
+        meet = meet & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(other, meet, how).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def _slice_window(by: Sequence[str], order: Sequence):
@@ -55,31 +42,18 @@ def _across(by: Sequence[str]):
     return Window.partitionBy(*by).orderBy(SLICE)
 
 
-def _back(rows: DataFrame, table: DataFrame, by: Sequence[str]) -> DataFrame:
-    return rows.join(table, [*by, SLICE], "left")
-
-
-def running_sums(
-    df: DataFrame, by: Sequence[str], order: Sequence, sums: Mapping[str, Column], fits: bool | None = None
-) -> DataFrame:
+def running_sums(df: DataFrame, by: Sequence[str], order: Sequence, sums: Mapping[str, Column]) -> DataFrame:
     """Sum of each expression over the earlier rows of the group (own row excluded)."""
     named = {f"_v_{name}": value for name, value in sums.items()}
-    rows, cut = slice_groups(df.withColumns(named), by, order, fits)
+    rows = slice_groups(df.withColumns(named), by, order)
     before = _slice_window(by, order).rowsBetween(Window.unboundedPreceding, -1)
-    rows_out = rows.withColumns(
-        {name: F.coalesce(F.sum(f"_v_{name}").over(before), F.lit(0)) for name in sums}
-    )
-    if cut:
-        totals = rows.groupBy(*by, SLICE).agg(*[F.sum(c).alias(c) for c in named])
-        earlier = _across(by).rowsBetween(Window.unboundedPreceding, -1)
-        offsets = totals.select(
-            *by, SLICE, *[F.coalesce(F.sum(f"_v_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums]
-        )
-        rows_out = _back(rows_out, offsets, by).withColumns(
-            {name: F.col(name) + F.col(f"_o_{name}") for name in sums}
-        )
-        rows_out = rows_out.drop(*[f"_o_{n}" for n in sums])
-    return rows_out.drop(SLICE, *named)
+    totals = rows.groupBy(*by, SLICE).agg(*[F.sum(c).alias(c) for c in named])
+    earlier = _across(by).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, SLICE, *[F.coalesce(F.sum(f"_v_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums])
+    out = rows.withColumns({name: F.coalesce(F.sum(f"_v_{name}").over(before), F.lit(0)) for name in sums})
+    out = same_keys(out, offsets, [*by, SLICE])
+    out = out.withColumns({name: F.col(name) + F.col(f"_o_{name}") for name in sums})
+    return out.drop(SLICE, *named, *[f"_o_{n}" for n in sums])
 
 
 def row_positions(df: DataFrame, by: Sequence[str], order: Sequence, name: str) -> DataFrame:
@@ -87,49 +61,41 @@ def row_positions(df: DataFrame, by: Sequence[str], order: Sequence, name: str)
     return running_sums(df, by, order, {name: F.lit(1).cast("long")})
 
 
-def previous_row(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], name: str, fits: bool | None = None
-) -> DataFrame:
+def previous_row(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], name: str) -> DataFrame:
     """Struct of `columns` of the row just before, null for the first row of a group."""
     kept = F.struct(*columns)
-    rows, cut = slice_groups(df, by, order, fits)
-    out = rows.withColumn(name, F.lag(kept).over(_slice_window(by, order)))
-    if cut:
-        tails = rows.groupBy(*by, SLICE).agg(F.max_by(kept, F.struct(*order)).alias("_tail"))
-        carried = tails.select(*by, SLICE, F.lag("_tail").over(_across(by)).alias("_carried"))
-        out = _back(out, carried, by).withColumn(name, F.coalesce(name, "_carried")).drop("_carried")
-    return out.drop(SLICE)
+    rows = slice_groups(df, by, order)
+    tails = rows.groupBy(*by, SLICE).agg(F.max_by(kept, F.struct(*order)).alias("_tail"))
+    carried = tails.select(*by, SLICE, F.lag("_tail").over(_across(by)).alias("_carried"))
+    out = same_keys(rows.withColumn(name, F.lag(kept).over(_slice_window(by, order))), carried, [*by, SLICE])
+    return out.withColumn(name, F.coalesce(name, "_carried")).drop("_carried", SLICE)
 
 
 def running_max(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
     """Largest `value` among the strictly earlier rows of the group; null for the first row."""
-    rows, cut = slice_groups(df.withColumn("_value", value), by, order)
+    rows = slice_groups(df.withColumn("_value", value), by, order)
     before = _slice_window(by, order).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumn(name, F.max("_value").over(before))
-    if cut:
-        tops = rows.groupBy(*by, SLICE).agg(F.max("_value").alias("_top"))
-        earlier = _across(by).rowsBetween(Window.unboundedPreceding, -1)
-        carried = tops.select(*by, SLICE, F.max("_top").over(earlier).alias("_carried"))
-        out = _back(out, carried, by).withColumn(name, F.greatest(name, "_carried")).drop("_carried")
-    return out.drop(SLICE, "_value")
+    tops = rows.groupBy(*by, SLICE).agg(F.max("_value").alias("_top"))
+    earlier = _across(by).rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(*by, SLICE, F.max("_top").over(earlier).alias("_carried"))
+    out = same_keys(rows.withColumn(name, F.max("_value").over(before)), carried, [*by, SLICE])
+    return out.withColumn(name, F.greatest(name, "_carried")).drop("_carried", SLICE, "_value")
 
 
-def last_known(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, name: str, fits: bool | None = None
-) -> DataFrame:
-    """Last non-null `value` among the strictly earlier rows of the group."""
-    rows, cut = slice_groups(df.withColumn("_value", value), by, order, fits)
+def last_known(df: DataFrame, by: Sequence[str], order: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
+    """Last non-null value of each expression among the strictly earlier rows of the group."""
+    named = {f"_v_{name}": value for name, value in values.items()}
+    rows = slice_groups(df.withColumns(named), by, order)
     before = _slice_window(by, order).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumn(name, F.last("_value", ignorenulls=True).over(before))
-    if cut:
-        known = F.when(F.col("_value").isNotNull(), F.struct(*order))
-        tails = rows.groupBy(*by, SLICE).agg(F.max_by("_value", known).alias("_tail"))
-        earlier = _across(by).rowsBetween(Window.unboundedPreceding, -1)
-        carried = tails.select(
-            *by, SLICE, F.last("_tail", ignorenulls=True).over(earlier).alias("_carried")
-        )
-        out = _back(out, carried, by).withColumn(name, F.coalesce(name, "_carried")).drop("_carried")
-    return out.drop(SLICE, "_value")
+    place = F.struct(*order)
+    tails = rows.groupBy(*by, SLICE).agg(
+        *[F.max_by(v, F.when(F.col(v).isNotNull(), place)).alias(v) for v in named])
+    earlier = _across(by).rowsBetween(Window.unboundedPreceding, -1)
+    carried = tails.select(*by, SLICE, *[F.last(f"_v_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in values])
+    out = rows.withColumns({n: F.last(f"_v_{n}", ignorenulls=True).over(before) for n in values})
+    out = same_keys(out, carried, [*by, SLICE])
+    out = out.withColumns({n: F.coalesce(n, f"_c_{n}") for n in values})
+    return out.drop(SLICE, *named, *[f"_c_{n}" for n in values])
 
 
 def group_totals(df: DataFrame, by: Sequence[str], totals: Mapping[str, Column]) -> DataFrame:
@@ -142,7 +108,7 @@ def group_totals(df: DataFrame, by: Sequence[str], totals: Mapping[str, Column])
     if not by:
         whole = df.agg(F.struct(*named).alias("_whole")).scalar()
         return df.withColumn("_whole", whole).select("*", "_whole.*").drop("_whole")
-    return df.join(df.groupBy(*by).agg(*named), list(by))
+    return same_keys(df, df.groupBy(*by).agg(*named), list(by), "inner")
 
 
 def exact_quantiles(
@@ -160,14 +126,14 @@ def exact_quantiles(
     """
     wanted = df.where(F.col(value).isNotNull())
     counts = wanted.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    if method == "linear" and (small_domain or groups_fit(counts, by)):
+    if method == "linear" and small_domain:
         names = list(quantiles)
         levels = F.array(*[F.lit(float(quantiles[n])) for n in names])
         picked = wanted.groupBy(*by).agg(F.percentile(F.col(value).cast("double"), levels).alias("_q"))
         return picked.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
     ranked = running_sums(counts, by, [value], {"_before": F.col("_n")})
     if by:
-        placed = ranked.join(counts.groupBy(*by).agg(F.sum("_n").alias("_total")), list(by))
+        placed = same_keys(ranked, counts.groupBy(*by).agg(F.sum("_n").alias("_total")), by, "inner")
     else:
         placed = ranked.withColumn("_total", counts.agg(F.sum("_n")).scalar())
     end = F.col("_before") + F.col("_n")

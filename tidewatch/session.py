@@ -6,9 +6,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-GROUP_ROWS = "spark.tidewatch.groupRows"
-DEFAULT_GROUP_ROWS = 1_000_000
-
 
 def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and the benchmark; a cluster brings its own."""
@@ -26,11 +23,6 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
     )
 
 
-def group_row_limit(spark: SparkSession) -> int:
-    """Largest ordered group that one task may sort on its own."""
-    return int(spark.conf.get(GROUP_ROWS, str(DEFAULT_GROUP_ROWS)))
-
-
 def stage_folder(spark: SparkSession) -> str:
     """The folder all executors share; only a local session makes its own."""
     sc = spark.sparkContext

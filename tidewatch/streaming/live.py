@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -38,20 +38,44 @@ def _seconds(column: str = "window.start"):
     return F.unix_seconds(column).alias("timestamp_second")
 
 
+def gap_columns(times: Column) -> list[Column]:
+    """The eight gap statistics of one flow from its packet times; all zero for one packet."""
+    gaps = F.array_sort(F.transform(
+        F.sequence(F.lit(1), F.size(times) - 1), lambda i: F.element_at(times, i + 1) - F.element_at(times, i)))
+    n = F.size(times) - 1
+    some = n > 0
+
+    def zero(value: Column, name: str) -> Column:
+        return F.when(some, value).otherwise(0.0).alias(name)
+
+    def quartile(q: float) -> Column:
+        place = (n - 1) * F.lit(q)
+        low = F.floor(place).cast("int")
+        a, b = F.element_at(gaps, low + 1), F.element_at(gaps, F.least(low + 2, n))
+        return a + (b - a) * (place - low)
+
+    add = lambda values: F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+    mean = add(gaps) / n
+    std = F.sqrt(add(F.transform(gaps, lambda g: (g - mean) * (g - mean))) / n)
+    return [
+        zero(mean, "iat_mean"), zero(std, "iat_std"), zero(F.element_at(gaps, 1), "iat_min"), zero(F.element_at(gaps, -1), "iat_max"),
+        *[zero(quartile(q / 100), f"iat_p{q}") for q in (25, 50, 75)], F.when(some & (mean > 0), std / mean).otherwise(0.0).alias("iat_cv")]
+
+
 def stream_flows(packets: DataFrame, seconds: int = 1, tolerance: int = 2) -> DataFrame:
-    """Directional flows of closed windows with every statistic that merges.
+    """Directional flows of closed windows with all 25 statistics.
 
     A window closes once a packet `tolerance` seconds past its end is seen; later rows
     for it are dropped by Spark and reported by `late_rows` and the query progress.
-    The mean gap follows from the duration; the spread of the gaps needs ordered times
-    and is left to the batch operator over the closed windows.
+    The gap statistics need the times in order: an open window keeps its flows' times.
     """
     start = F.floor(F.col("ts") / F.lit(float(seconds))) * F.lit(float(seconds))
     timed = with_event_time(packets).withColumn("bin", tenth_bin(F.col("ts") - start, seconds))
-    flows = tumble(timed, seconds, f"{tolerance} seconds").groupBy("capture_id", *FLOW_IDENTITY, "window").agg(*mergeable_aggregates())
-    gap = F.when(F.col("_n") > 1, (F.col("_last") - F.col("first_packet_time")) / (F.col("_n") - 1)).otherwise(0.0)
+    flows = tumble(timed, seconds, f"{tolerance} seconds").groupBy("capture_id", *FLOW_IDENTITY, "window").agg(
+        *mergeable_aggregates(), F.collect_list("ts").alias("_times"))
+    flows = flows.withColumn("_times", F.array_sort("_times"))
     return flows.select(
-        "capture_id", _seconds(), *FLOW_IDENTITY, "window", *size_columns(), gap.alias("iat_mean"), *bin_columns(),
+        "capture_id", _seconds(), *FLOW_IDENTITY, "window", *size_columns(), *gap_columns(F.col("_times")), *bin_columns(),
         "first_packet_time", "event_id", "binary_label")
 
 
@@ -62,9 +86,8 @@ def late_rows(packets: DataFrame, tolerance: int = 2) -> DataFrame:
     return seen.where(second < F.col("_latest") - tolerance).drop("_latest")
 
 
-def refuse_late(query) -> None:
+def refuse_late(dropped: int) -> None:
     """Raise when a finished query dropped rows behind its watermark."""
-    dropped = sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p["stateOperators"])
     if dropped:
         raise ValueError(f"{dropped} rows arrived later than the watermark allows")
 
