@@ -7,11 +7,12 @@ from tidewatch.functions import keys
 from tidewatch.operators import flows as ops
 
 
-def packet(ts, src="a", dst="b", sport=100, dport=200, length=100, label=0):
+def packet(ts, src="x1", dst="x2", sport=7001, dport=9, length=64, label=0):
     return (ts, src, dst, sport, dport, "udp", length, label)
 
 
-BOUNDARY = [packet(1.05), packet(1.15), packet(1.20, "b", "a", 200, 100), packet(2.00), packet(1.07)]
+# Second 6 holds four packets forth, the third of them late in the file, and one back; second 7 begins exactly at 7.0.
+LAYOUT = [packet(6.25, length=90), packet(6.5, "x2", "x1", 9, 7001), packet(6.95, length=30), packet(6.31, length=60), packet(7.0), packet(6.26, length=20)]
 
 
 def by_key(df):
@@ -19,21 +20,22 @@ def by_key(df):
 
 
 def test_direction_and_window_boundaries(packet_table):
-    rows = by_key(ops.flow_statistics(packet_table(BOUNDARY)))
-    assert set(rows) == {(1, "a"), (1, "b"), (2, "a")}
-    first = rows[(1, "a")]
-    assert first["active_bin_count"] == 2 and first["bin_packets_max"] == 2
-    assert first["active_duration"] == pytest.approx(0.10)
-    assert first["iat_min"] == pytest.approx(0.02)  # the out-of-order packet is put in time order
-    assert rows[(2, "a")]["iat_mean"] == 0
+    rows = by_key(ops.flow_statistics(packet_table(LAYOUT)))
+    assert {k: r["packet_count"] for k, r in rows.items()} == {(6, "x1"): 4, (6, "x2"): 1, (7, "x1"): 1}
+    forth = rows[(6, "x1")]
+    assert forth["byte_count"] == 200 and forth["active_duration"] == pytest.approx(0.70)
+    assert forth["active_bin_count"] == 3 and forth["bin_packets_max"] == 2 and forth["bin_bytes_max"] == 110
+    # Times in order: 6.25, 6.26, 6.31, 6.95.
+    assert (forth["iat_min"], forth["iat_p50"], forth["iat_max"]) == (pytest.approx(0.01), pytest.approx(0.05), pytest.approx(0.64))
+    assert rows[(7, "x1")]["iat_mean"] == 0
 
 
 def test_single_packet(packet_table):
-    row = ops.flow_statistics(packet_table([packet(3.1)])).first()
+    row = ops.flow_statistics(packet_table([packet(12.75, length=730)])).first()
     values = [row[c] for c in ops.FLOW_STATISTICS]
-    assert values[10:18] == [0.0] * 8 and values[4] == 0
-    assert values[20] == pytest.approx(np.std([100] + [0] * 9))
-    assert values[23] == pytest.approx(np.std([1] + [0] * 9))
+    assert values[10:18] == [0.0] * 8 and values[4] == 0 and values[:3] == [1, 730, 0]
+    assert values[20] == pytest.approx(219.0)  # one bin of ten holds 730: sqrt(0.1 * 0.9) * 730
+    assert values[23] == pytest.approx(0.3)
 
 
 def random_packets(n=300, seed=5):

@@ -14,16 +14,16 @@ def scored(spark, labels, scores):
 
 
 def test_perfect_ranking(spark):
-    m = metrics.curve_metrics(metrics.score_steps(scored(spark, [0, 0, 1, 1], [0.1, 0.2, 0.8, 0.9]))).first()
+    m = metrics.curve_metrics(metrics.score_steps(scored(spark, [1, 0, 1, 0, 0], [7.5, -1.0, 3.25, 0.0, 3.0]))).first()
     assert (m["auroc"], m["average_precision"], m["eer"], m["eer_nearest"], m["tpr_at_001pct"]) == (1, 1, 0, 0, 1)
 
 
 def test_tied_scores(spark):
-    m = metrics.curve_metrics(metrics.score_steps(scored(spark, [0, 0, 1, 1], [0.1, 0.4, 0.4, 0.9]))).first()
-    assert m["auroc"] == pytest.approx(0.875) and m["average_precision"] == pytest.approx(0.5 + 0.5 * 2 / 3)
-    assert m["eer_bracket"] == pytest.approx(0.25) == m["eer"]
-    # Between "above 0.4" and "above 0.1" false positives overtake misses.
-    assert (m["threshold_lower"], m["threshold_upper"]) == (0.1, 0.4)
+    # Attacks 9, 5, 5; normal 5, 2, 2, 1: eleven of twelve pairs won with ties as halves.
+    m = metrics.curve_metrics(metrics.score_steps(scored(spark, [1, 1, 1, 0, 0, 0, 0], [9, 5, 5, 5, 2, 2, 1]))).first()
+    assert m["auroc"] == pytest.approx(11 / 12) and m["average_precision"] == pytest.approx(1 / 3 + 2 / 3 * 3 / 4)
+    # From (0, 1/3) to (1/4, 1): misses fall by 2/3 while false positives rise by 1/4, and meet at 2/11.
+    assert m["eer"] == pytest.approx(2 / 11)
 
 
 @pytest.mark.parametrize("sliced", [False, True])
