@@ -344,8 +344,8 @@ def test_sketches_estimate_similarities():
         y = np.r_[x[n:], rng.integers(0, 2**63, n, dtype=np.uint64)]
         a, b = (near.odd_sketch(near.minhashes(np.sort(v))) for v in (x, y))
         bits = sum(int(v).bit_count() for v in (a ^ b).view(np.uint64))
-        estimate = 1 + near.BITS / (4 * near.ROWS * near.BANDS) * math.log(1 - 2 * bits / near.BITS)
-        assert abs(estimate - share) < 0.12
+        estimate = 1 + near.BITS / (4 * near.SAMPLES) * math.log(1 - 2 * bits / near.BITS)
+        assert abs(estimate - share) < 0.08
 
 
 def test_components_of_long_chains(spark):

@@ -2,16 +2,17 @@
 
 A document's set holds its distinct k-word shingles as 64-bit hashes; with fewer than k
 words the whole sequence is its one shingle. Documents with equal sets form one class and
-are worked on once. Every class gets `bands` x `rows` MinHash values: each band is a bucket
-key, and all values together are folded into an odd sketch, a bitmap of parities. From the
+are worked on once. Every class gets SAMPLES MinHash values: the first ones form bands of ROWS, each
+a bucket key, and all together are folded into an odd sketch, a bitmap of parities. From the
 bits in which two sketches differ follows a close estimate of a high similarity; candidates
 clearly below the wanted similarity go, the others are confirmed on the full sets.
 
 Buckets are never expanded into all pairs. In each of a few rounds every class compares
-itself with one bucket leader outside its component, confirmed links merge components, and
-only what still stands in one bucket but in different components is compared one by one at
-the end, without the pairs already refused. A pair at the wanted similarity shares no band
-with probability (1 - s**rows)**bands, about 1e-7 for the defaults at 0.8.
+itself with one bucket leader outside its component, and confirmed links merge components.
+What still stands in one bucket but in different components is compared at the end: classes
+whose shingles are too much their own to reach the similarity with anyone fall out, the rest
+meets by sketches in blocks of bounded size, and only similar pairs leave a block. A pair at the wanted similarity shares no band
+with probability (1 - s**ROWS)**BANDS, about 1e-7 at 0.8.
 
 Null, empty and white texts have no set and link with nothing. Repeated rows share a class.
 A group's id is its smallest doc_id; a null doc_id never is one while another exists, and
@@ -32,11 +33,14 @@ from tidewatch.llm.shared import in_slots, text_of
 from tidewatch.llm.words import NOT_SPACE, grams, mixed, slices, words
 from tidewatch.session import shared_stage
 
-ROWS, BANDS, BITS = 5, 40, 512
+ROWS, BANDS = 5, 40
+SAMPLES, BITS = 1600, 4096
+#: The estimate's spread at 0.8 is below 0.014: five times that below the wanted similarity nothing is refused.
+MARGIN = 0.07
 _rng = np.random.default_rng(977)
-_A = _rng.integers(0, 2**31, ROWS * BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_B = _rng.integers(0, 2**32, ROWS * BANDS, dtype=np.uint32)
-_PLACE = mixed(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64))
+_A = _rng.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32)
+_PLACE = mixed(np.arange(1, SAMPLES + 1, dtype=np.uint64))
 _BAND = mixed(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -59,14 +63,14 @@ def shingle_sets(data: np.ndarray, places: np.ndarray, k: int) -> Iterator[np.nd
 def minhashes(shingles: np.ndarray) -> np.ndarray:
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     best = np.full(len(_A), 2**32 - 1, np.uint32)
-    for at in range(0, len(x), 2048):
-        np.minimum(best, (np.multiply.outer(_A, x[at:at + 2048]) + _B[:, None]).min(1), out=best)
+    for at in range(0, len(x), 512):
+        np.minimum(best, (np.multiply.outer(_A, x[at:at + 512]) + _B[:, None]).min(1), out=best)
     return best
 
 
 def band_keys(values: np.ndarray) -> np.ndarray:
     key = _BAND.copy()
-    for column in values.reshape(BANDS, ROWS).T:
+    for column in values[:BANDS * ROWS].reshape(BANDS, ROWS).T:
         key = (key ^ column.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
         key ^= key >> np.uint64(32)
     return mixed(key).view(np.int64)
@@ -81,7 +85,7 @@ def odd_sketch(values: np.ndarray) -> np.ndarray:
 def odd_similarity(differing):
     """Estimated similarity from the number of differing bits (a Column)."""
     share = F.least(differing / F.lit(BITS / 2), F.lit(1 - 1e-9))
-    return 1 + F.lit(BITS / (4.0 * ROWS * BANDS)) * F.log(1 - share)
+    return 1 + F.lit(BITS / (4.0 * SAMPLES)) * F.log(1 - share)
 
 
 def _set_key(shingles: np.ndarray) -> bytes:
@@ -179,53 +183,168 @@ def components(links: DataFrame) -> DataFrame:
         links = through(through(links, "a"), "b")
 
 
+BLOCK = 1024  # members of a bucket that are compared with as many others at a time
+
+
+def _similar(one: np.ndarray, two: np.ndarray, n: tuple[np.ndarray, np.ndarray], common: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
+    """Which of all pairs may reach `percent`, by odd sketches, set sizes and shingles that others have too."""
+    bits = np.bitwise_count(one[:, None, :] ^ two[None, :, :]).sum(2)
+    share = np.minimum(bits / (BITS / 2), 1 - 1e-9)
+    estimate = 1 + BITS / (4.0 * SAMPLES) * np.log(1 - share)
+    most = np.minimum.outer(*common)  # no pair has more in common
+    return (estimate >= percent / 100 - MARGIN) & (100 * most >= percent * (np.add.outer(*n) - most))
+
+
+def _compared(blocks: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may be similar, within each (h, lb, rb).
+
+    blocks: h, lb, rb, left, node, comp, n_shingles, common, odd, bands. Rows come sorted by block,
+    so a task holds one block at a time; a pair leaves it if it passes the sketches, and only in
+    the first band that the two share.
+    """
+
+    def pairs_of(t: pa.Table) -> np.ndarray:
+        left = t.column("left").to_numpy()
+        node, comp, n, common = (t.column(c).to_numpy() for c in ("node", "comp", "n_shingles", "common"))
+        odd = t.column("odd").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)
+        bands = t.column("bands").combine_chunks().flatten().to_numpy().astype(np.uint32).reshape(-1, BANDS)
+        own = int((bands[0] == np.uint32(t.column("h")[0].as_py() & 0xFFFFFFFF)).argmax())
+        x, y = np.flatnonzero(left), np.flatnonzero(~left)
+        good = []
+        for at in range(0, len(x), 64):
+            i = x[at:at + 64]
+            hit = _similar(odd[i], odd[y], (n[i], n[y]), (common[i], common[y]), percent) & (comp[i][:, None] != comp[y][None, :])
+            p, q = np.nonzero(hit)
+            first = (bands[i[p]] == bands[y[q]]).argmax(1) == own
+            p, q = p[first], q[first]
+            good.append(np.stack([node[i[p]], node[y[q]]], 1))
+        return np.concatenate(good) if good else np.zeros((0, 2), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        now = None
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy() for c in ("h", "lb", "rb")], 1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), len(key)]
+            for at, to in zip(cuts[:-1], cuts[1:]):
+                if to == at:
+                    continue
+                own = tuple(key[at])
+                if own != now and held:
+                    yield from given(pairs_of(pa.concat_tables(held)))
+                    held = []
+                now = own
+                held.append(pa.Table.from_batches([batch.slice(at, to - at)]))
+        if held:
+            yield from given(pairs_of(pa.concat_tables(held)))
+
+    def given(found: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(found):
+            yield pa.RecordBatch.from_arrays([pa.array(found.max(1)), pa.array(found.min(1))], ["a", "b"])
+
+    parts = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = blocks.repartition(parts, "h", "lb", "rb").sortWithinPartitions("h", "lb", "rb")
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _estimated(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that set sizes and odd sketches do not rule out."""
+    one = light.select(F.col("node").alias("a"), F.col("n_shingles").alias("_na"), F.col("odd").alias("_oa"))
+    two = light.select(F.col("node").alias("b"), F.col("n_shingles").alias("_nb"), F.col("odd").alias("_ob"))
+    differing = F.aggregate(F.zip_with("_oa", "_ob", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = (100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")) & (odd_similarity(differing) >= percent / 100 - MARGIN)
+    return pairs.join(one, "a").join(two, "b").where(near).select("a", "b")
+
+
+def _ordered(a: str, b: str) -> tuple:
+    return F.greatest(a, b).alias("a"), F.least(a, b).alias("b")
+
+
+def _leader_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """One comparison a class: the best leader, of all its buckets, outside its component.
+
+    A bucket is led by the member with most company in its own buckets, which in a group of
+    near copies is one that was edited little; later turns vary the order at random.
+    """
+    rank = -F.col("company") * (1 if turn == 0 else 1 + F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(8)))
+    lead = rows.groupBy("h").agg(
+        F.min(F.struct(rank.alias("r"), "node", "comp")).alias("_l"), F.min("comp").alias("_x"), F.max("comp").alias("_y"))
+    lead = lead.where("_x < _y").select("h", "_l")
+    chosen = rows.join(lead, "h").where(F.col("comp") != F.col("_l.comp")).groupBy("node").agg(F.min("_l").alias("_l"))
+    return chosen.select("node", F.col("_l.node").alias("_n")).select(*_ordered("node", "_n")).distinct()
+
+
+def _open_rows(rows: DataFrame) -> DataFrame:
+    """Buckets that hold several components: h, main (the largest), most, m, x, y."""
+    sizes = rows.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("x"))
+    return sizes.groupBy("h").agg(
+        F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("m"),
+        F.min("x").alias("x"), F.max("x").alias("y"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+
+
+def _shingle_rows(sets: DataFrame) -> DataFrame:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, own in zip(batch.column("node").to_pylist(), batch.column("shingles")):
+                s = np.frombuffer(own.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node)), pa.array(s)], ["node", "s"])
+
+    return sets.select("node", "shingles").mapInArrow(spread, "node long, s long")
+
+
+def _linkable(nodes: DataFrame, light: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of `nodes`, those that share enough shingles with any other of them: light's columns and `common`.
+
+    `common` counts a class's shingles that stand in another class as well. No pair has more
+    than that in common, which rules out exactly what was edited too much or stands for itself.
+    """
+    alone = _shingle_rows(sets.join(nodes, "node")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node"))
+    single = alone.where("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
+    counted = light.join(nodes, "node").join(single, "node", "left")
+    counted = counted.withColumn("common", F.col("n_shingles") - F.coalesce("u", F.lit(0).cast("long"))).drop("u")
+    return shared_stage(counted.where(100 * F.col("common") >= percent * F.col("n_shingles")))
+
+
+def _open_pairs(rows: DataFrame, light: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Every pair that shares a bucket but no component and may be similar.
+
+    In each bucket the members outside its largest component meet all members, block by
+    block; a bucket of two is a pair already.
+    """
+    nodes = rows.join(_open_rows(rows).select("h"), "h").select("node").distinct()
+    light = _linkable(nodes, light, sets, percent)
+    rows = rows.join(light.select("node"), "node")
+    sizes = shared_stage(_open_rows(rows))
+    twos = _estimated(sizes.where("m = 2").select(*_ordered("x", "y")).distinct(), light, percent)
+    parts = lambda n: F.ceil(n / F.lit(BLOCK)).cast("long")
+    more = sizes.where("m > 2").select("h", "main", parts(F.col("m") - F.col("most")).alias("_nl"), parts(F.col("m")).alias("_nr"))
+    met = rows.join(more, "h").join(light, "node")
+    shown = ("h", "node", "comp", "n_shingles", "common", "odd", "bands")
+    lb, rb = F.pmod(F.xxhash64("node", F.lit(1)), F.col("_nl")), F.pmod(F.xxhash64("node", F.lit(2)), F.col("_nr"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = met.where("comp <> main").select(*shown, F.lit(True).alias("left"), lb.alias("lb"), every("_nr").alias("rb"))
+    right = met.select(*shown, F.lit(False).alias("left"), rb.alias("rb"), every("_nl").alias("lb"))
+    return twos.union(_compared(left.unionByName(right), percent)).distinct()
+
+
 def _linked(members: DataFrame, light: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame | None:
     """node, root over all confirmed links between classes that share a bucket, or None."""
-    spark = members.sparkSession
     links: DataFrame | None = None
     labels: DataFrame | None = None
-    tested = spark.createDataFrame([], "a long, b long")
     for turn in range(rounds + 1):
         rows = members.withColumn("comp", F.col("node"))
         if labels is not None:
             rows = members.join(labels, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-        if turn < rounds:
-            rank = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-            lead = rows.groupBy("h").agg(
-                F.min(F.struct(rank.alias("r"), "node", "comp")).alias("_l"), F.min("comp").alias("_x"), F.max("comp").alias("_y"))
-            lead = lead.where("_x < _y").select("h", F.col("_l.node").alias("_n"), F.col("_l.comp").alias("_c"))
-            pairs = rows.join(lead, "h").where(F.col("comp") != F.col("_c"))
-        else:
-            # Two members were leader and member already; the rest is compared across components.
-            open_ = rows.groupBy("h").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y"), F.count(F.lit(1)).alias("_m"))
-            rows = rows.join(open_.where("_x < _y and _m > 2").select("h"), "h")
-            other = rows.select("h", F.col("node").alias("_n"), F.col("comp").alias("_c"))
-            pairs = rows.join(other, "h").where((F.col("comp") != F.col("_c")) & (F.col("node") > F.col("_n")))
-        pairs = pairs.select(F.greatest("node", "_n").alias("a"), F.least("node", "_n").alias("b")).distinct()
-        one = light.select(F.col("node").alias("a"), F.col("n_shingles").alias("_na"), F.col("odd").alias("_oa"))
-        two = light.select(F.col("node").alias("b"), F.col("n_shingles").alias("_nb"), F.col("odd").alias("_ob"))
-        pairs = pairs.join(tested, ["a", "b"], "left_anti").join(one, "a").join(two, "b")
-        differing = F.aggregate(
-            F.zip_with("_oa", "_ob", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        # The estimate's spread near 0.8 is below 0.04: five times that below the wanted similarity nothing is refused.
-        near = (100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")) & (odd_similarity(differing) >= percent / 100 - 0.2)
-        pairs = pairs.where(near)
-        if turn < rounds:
-            # One comparison a class: its smallest leader outside its component.
-            pairs = pairs.groupBy("a").agg(F.min("b").alias("b"))
-        pairs = shared_stage(pairs.select("a", "b"))
-        if pairs.isEmpty():
-            if turn < rounds:
-                continue
-            break
-        tested = tested.union(pairs)
+        pairs = _estimated(_leader_pairs(rows, turn), light, percent) if turn < rounds else _open_pairs(rows, light, sets, percent)
         found = shared_stage(confirmed(pairs, sets, percent))
+        if found.isEmpty():
+            continue
         links = found if links is None else links.union(found)
         labels = components(links)
     return labels
 
 
-def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
+def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
     """doc_id, text_key (hash of the text), n_shingles, component_id and kept of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("text_key", F.xxhash64("text"))
     signed = shared_stage(signatures(rows, k))
@@ -234,13 +353,15 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 3)
         F.first("bands").alias("bands"), F.first("odd").alias("odd"))
     classes = shared_stage(classes.select("*", F.monotonically_increasing_id().alias("node")))
     banded = classes.select("node", F.explode("bands").alias("h"))
-    shared = banded.groupBy("h").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("h")
+    shared = banded.groupBy("h").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
     members = shared_stage(banded.join(shared, "h"))
+    company = members.groupBy("node").agg(F.sum("_m").alias("company"))
+    members = shared_stage(members.select("h", "node").join(company, "node"))
     named = shared_stage(members.select("node").distinct().join(
-        classes.select("node", "set_key", "text_key", "n_shingles", "odd"), "node"))
+        classes.select("node", "set_key", "text_key", "n_shingles", "odd", "bands"), "node"))
     wanted = in_slots(rows.select("text", "text_key"), named, "text_key")
     sets = full_sets(wanted, k).join(named.select("set_key", "node"), "set_key").dropDuplicates(["node"]).select("node", "shingles")
-    labels = _linked(members, named.select("node", "n_shingles", "odd"), shared_stage(sets), percent, rounds)
+    labels = _linked(members, named.select("node", "n_shingles", "odd", "bands"), shared_stage(sets), percent, rounds)
     ids = classes.select("set_key", "node", "rep")
     if labels is None:
         ids = ids.withColumn("component_id", F.col("rep"))
