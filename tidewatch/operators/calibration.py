@@ -239,26 +239,28 @@ def fit_mixture(rows: DataFrame, vector: str, k: int, seed: int = 42, max_iter:
 
     data = rows.select(F.col(vector).alias("_v"), array_to_vector(vector).alias("_f"))
 
-    def moments(row) -> tuple[float, list[float], list[float]]:
-        weight, mean, norm = row["weightSum"], row["mean"].toArray(), row["normL2"].toArray()
+    def sums(weight: Column, tag: str) -> list[Column]:
+        return [F.sum(weight).alias(f"w{tag}"), Summarizer.metrics("mean", "normL2").summary(F.col("_f"), weight).alias(f"s{tag}")]
+
+    def moments(row, tag: str) -> tuple[float, list[float], list[float]]:
+        weight, mean, norm = row[f"w{tag}"], row[f"s{tag}"]["mean"].toArray(), row[f"s{tag}"]["normL2"].toArray()
         return weight, mean.tolist(), [max(floor, n * n / weight - m * m) for n, m in zip(norm, mean)]
 
-    parts_of = Summarizer.metrics("mean", "normL2", "weightSum")
-    n, mean, spread = moments(data.select(parts_of.summary(F.col("_f"), F.lit(1.0)).alias("s")).head(1)[0][0])
+    n, mean, spread = moments(data.agg(*sums(F.lit(1.0), "")).head(1)[0], "")
     centers = fit_prototypes(rows, vector, k, seed) if k > 1 else [mean]
     parts = [{"w": 1.0 / len(centers), "m": c, "v": spread} for c in centers]
     before = None
     for _ in range(max_iter + 1):
         logs = _component_logs(F.col("_v"), constant(parts, "array<struct<w: double, m: array<double>, v: array<double>>>"))
         shared = data.withColumn("_l", logs).withColumn("_t", log_sum_exp(F.col("_l")))
-        sums = [parts_of.summary(F.col("_f"), F.exp(F.get("_l", i) - F.col("_t"))).alias(f"s{i}") for i in range(len(parts))]
-        row = shared.agg(F.sum("_t").alias("likelihood"), *sums).head(1)[0]
+        weights = [F.exp(F.get("_l", i) - F.col("_t")) for i in range(len(parts))]
+        row = shared.agg(F.sum("_t").alias("likelihood"), *[c for i, w in enumerate(weights) for c in sums(w, str(i))]).head(1)[0]
         value = row["likelihood"] / n
         if before is not None and value - before < tol:
             break
         before = value
         # A component that lost all its rows is dropped.
-        found = [moments(row[f"s{i}"]) for i in range(len(parts)) if row[f"s{i}"]["weightSum"] > 1e-9]
+        found = [moments(row, str(i)) for i in range(len(parts)) if row[f"w{i}"] > 1e-9]
         parts = [{"w": w / n, "m": m, "v": v} for w, m, v in found]
     return parts, row["likelihood"]
 
