@@ -26,6 +26,7 @@ from tidewatch.llm.words import LOWER, slices
 from tidewatch.session import bounded_rows
 
 DIMS = 4096
+PIECE = 1 << 18  # bytes worked on at a time, so that a worker stays small
 UNKNOWN = "und"
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "is"),
@@ -41,10 +42,10 @@ def features(data: np.ndarray, places: np.ndarray) -> np.ndarray:
     n = len(places) - 1
     out = np.zeros(n * DIMS, np.float32)
     x = LOWER[data]
-    x = np.where(LETTER[x], x, 32).astype(np.int64)
-    for at in range(0, len(x), 1 << 20):  # a piece and the two bytes after it
-        part = x[at:at + (1 << 20) + 2]
-        own = min(len(part), 1 << 20)
+    x = np.where(LETTER[x], x, 32)
+    for at in range(0, len(x), PIECE):  # a piece and the two bytes after it
+        part = x[at:at + PIECE + 2].astype(np.int64)
+        own = min(len(part), PIECE)
         text = np.searchsorted(places, np.arange(at, at + own), "right") - 1
         left = places[text + 1] - np.arange(at, at + own)
         code = np.zeros(own, np.int64)
@@ -53,7 +54,9 @@ def features(data: np.ndarray, places: np.ndarray) -> np.ndarray:
             code[:len(more)] = code[:len(more)] * 257 + more + 1
             good = left >= size
             slot = ((code + size * 7919) * 2654435761 >> 9) % DIMS
-            out += np.bincount(text[good] * DIMS + slot[good], minlength=n * DIMS).astype(np.float32)
+            low, high = int(text[0]), int(text[-1]) + 1
+            counted = np.bincount((text[good] - low) * DIMS + slot[good], minlength=(high - low) * DIMS)
+            out[low * DIMS:high * DIMS] += counted
     out = np.sqrt(out.reshape(n, DIMS))
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
@@ -173,10 +176,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 if not model.languages:
                     some[:] = False
                 names, scores = [], []
-                for at in range(0, len(places) - 1, 512):
-                    own = places[at:at + 513]
+                for at in range(0, len(places) - 1, 128):
+                    own = places[at:at + 129]
                     best, sure = model.predict(features(data[own[0]:own[-1]], own - own[0])) if model.languages else (None, None)
-                    for i, ok in enumerate(some[at:at + 512]):
+                    for i, ok in enumerate(some[at:at + 128]):
                         names.append(model.languages[best[i]] if ok else UNKNOWN)
                         scores.append(float(sure[i]) if ok else 0.0)
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), pa.array(names), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])

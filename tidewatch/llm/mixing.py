@@ -209,8 +209,10 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [words_at(t, n, r) for t, n, r in zip(*(batch.column(c).to_pylist() for c in ("text", "size", "runs")))]
-            yield pa.RecordBatch.from_arrays([batch.column("_doc"), pa.array(texts, pa.string())], ["_doc", "_text"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts = [words_at(t, n, r) for t, n, r in zip(*(part.column(c).to_pylist() for c in ("text", "size", "runs")))]
+                yield pa.RecordBatch.from_arrays([part.column("_doc"), pa.array(texts, pa.string())], ["_doc", "_text"])
 
     out = rows.mapInArrow(cut, f"_doc {schema}, _text string")
     new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}

@@ -35,7 +35,7 @@ class _Ids:
     chunks are merged by the rank file of the same vocabulary.
     """
 
-    MOST = 400_000
+    MOST = 120_000  # chunks kept by a worker, some 30 MB
 
     def __init__(self, path: str, ranks: str):
         import base64

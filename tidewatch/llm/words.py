@@ -3,7 +3,7 @@
 A word is a run of kept bytes of the UTF-8 text after lowering A-Z; it never crosses a
 text's end. The hash is a polynomial over per-byte random values modulo 2**64, taken from
 prefix sums, so that no Python object is made per word. Texts are worked on in pieces of
-about a megabyte that end between words, whatever their length.
+a quarter of a megabyte that end between words, whatever their length.
 """
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _VALUES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -63,7 +63,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[places[0]:places[-1]], places - places[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut a batch into runs of rows with about `limit` bytes of text, one row at least."""
     data, places = text_bytes(batch.column(column))
     at = 0
