@@ -134,8 +134,8 @@ def with_next(docs: DataFrame, range_chars: int = 8 << 20, most_ranges: int = 50
     meet = F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_tie") == F.col("_t"))
     guests = rows.join(F.broadcast(guests), meet).dropDuplicates(["_i", "_t"]).select("doc_id", "text", "_tie", F.col("_to").alias("_r"), F.lit(1).alias("_g"))
     dealt = rows.select("doc_id", "text", "_tie", "_r", F.lit(0).alias("_g")).union(guests)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = dealt.repartition(parts, "_r").sortWithinPartitions("_r", "_g", F.col("doc_id").desc_nulls_last(), "_tie")
+    # As many partitions as ranges: a task gets a few ranges of bounded size, whatever the table's size.
+    dealt = dealt.repartition(max(1, len(heads)), "_r").sortWithinPartitions("_r", "_g", F.col("doc_id").desc_nulls_last(), "_tie")
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
                         ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
