@@ -8,9 +8,9 @@ import pytest
 
 import __spark_entry__ as entry
 from tests_support import same_rows
+from tidewatch.catalog.registry import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -39,3 +39,7 @@ def test_entry_has_a_stable_schema(spark):
     df = entry.entry(spark)
     assert {"capture_id", "row_id", "final_score", "flag"} <= set(df.columns) and df.count() > 0
     assert not any(math.isnan(r["final_score"]) for r in df.select("final_score").collect())
+
+
+def test_entry_names_every_query():
+    assert QUERIES.items() <= entry.queries().items() and ORACLES.items() <= entry.oracle_sql().items()
