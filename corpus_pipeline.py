@@ -1,8 +1,8 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage works on all that the one before kept; `run` writes every result as Parquet in
-the shared folder and reads it again. Stages of other texts than documents' own columns do
-not exist: all but the last return the columns they were given.
+the shared folder and reads it again. All stages but the last return the columns they were
+given; the last gives the packed pieces.
 """
 from __future__ import annotations
 
