@@ -433,6 +433,18 @@ def test_edits_use_the_next_document(spark, docs, chars):
     assert winnow.with_next(docs, range_chars=chars).count() == docs.count()
 
 
+def test_short_texts_and_passages_keep_their_likeness():
+    rng = np.random.default_rng(3)
+    text = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    passage = text(23)
+    both = [winnow.winnow(text(200) + passage + text(200))[0].tolist() for _ in range(2)]
+    assert set(both[0]) & set(both[1])
+    for n in (60, 90, 115, 200):
+        one, other = text(n), text(n)
+        near = winnow.likeness(winnow.winnow(one)[0], winnow.winnow(winnow.edited(one, other))[0])
+        assert 0 < near < 1
+
+
 # 9 Secrets --------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")

@@ -2,8 +2,8 @@
 
 Every run of `k` code points is hashed; of each `window` consecutive hashes the smallest is
 kept, the rightmost one of equal ones, together with its position. Two texts that share a
-passage of window + k - 1 code points therefore share a fingerprint. A text of fewer code
-points has the smallest hash of what it has; one shorter than k is hashed whole; an empty
+passage of window + k - 1 code points (23 with the defaults, at every text length) therefore
+share a fingerprint. A text of fewer code points has the smallest hash of what it has; one shorter than k is hashed whole; an empty
 text has none. A fingerprint is written as 16 hex digits a selection, hash and position,
 separated by commas; likeness is the Jaccard coefficient of the distinct hashes, and 1 for
 two texts without any.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.shared import text_of
 from tidewatch.llm.words import mixed
 
-GRAM, WINDOW = 20, 96
+GRAM, WINDOW = 8, 16
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LOW = np.uint64(2**32 - 1)
 _powers: list[np.ndarray] = []
