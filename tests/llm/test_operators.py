@@ -110,6 +110,81 @@ def test_class_model_is_a_probability(spark):
         assert total == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("frequent", [3, 1 << 17])
+def test_every_repeated_word_is_a_unit(spark, frequent):
+    """Words of a flat vocabulary beyond the core get classes from their own neighbours; scores and mass fit them."""
+    rng = np.random.default_rng(2)
+    def name(k):  # some words end like those of the other kind
+        i = rng.integers(40)
+        return f"{k}{i}{'aaa' if k == 'a' or i < 6 else 'bbb'}" if rng.random() < 0.95 else f"{k}{rng.integers(10**9)}{k * 3}"
+    texts = [" ".join(w for _ in range(12) for w in (name("a"), name("b"))) for _ in range(150)]
+    docs = spark.createDataFrame([(i, False, t) for i, t in enumerate(texts)], "doc_id long, held_out boolean, text string")
+    trained = lm.train(docs, shapes=8, classes=2, rounds=6, frequent=frequent, core=8)
+    m = trained.model
+    counts = collections.Counter(w for t in texts for w in t.split())
+    ask = sorted(counts) + ["never", "seen"]
+    data, places = text_bytes(pa.array(ask))
+    keys = lm._keys(words(data, places, NOT_SPACE), m.shapes)
+    own = {r["h"]: r["c"] for r in trained.lexicon.collect()}
+    assert 0 < len(m.head) <= 8
+    core = dict(zip(m.head.tolist(), m.head_class))
+    group = {w: len(m.head) + int(k & np.uint64(0x3FF)) for w, k in zip(ask, keys)}
+    unit_class = {w: core.get(int(k), own.get(int(k.view(np.int64)))) for w, k in zip(ask, keys)}
+    assert all((unit_class[w] is not None) == (counts[w] > 1) for w in ask)
+    sides = [collections.Counter(unit_class[w] for w in counts if counts[w] > 5 and w[0] == k) for k in "ab"]
+    assert all(max(x.values()) >= 0.95 * sum(x.values()) for x in sides) and sides[0].most_common(1)[0][0] != sides[1].most_common(1)[0][0]
+
+    def emitted(w):
+        if unit_class[w] is not None:
+            return unit_class[w], math.log10((counts[w] + 0.5) / m.class_total[unit_class[w]])
+        g = group[w]
+        n, t = m.group_total[g - len(m.head)], m.group_types[g - len(m.head)]
+        part = (counts[w] - m.discount if counts[w] else m.discount * t) / n if n else 1.0
+        return m.unit_class[g], m.emission[g] + math.log10(part)
+
+    for before in range(3):
+        mass = sum(10 ** (m.transition[before, c] + e) for c, e in (emitted(w) for w in counts)) + 10 ** (m.transition[before, 2] + m.emission[-1])
+        for g in range(m.shapes):
+            n = m.group_total[g]
+            mass += 10 ** (m.transition[before, m.unit_class[len(m.head) + g]] + m.emission[len(m.head) + g]) * (m.discount * m.group_types[g] / n if n else 1.0)
+        assert mass == pytest.approx(1.0)
+    more = [*texts[:20], "never", "a1aaa never seen b2aaa seen never", "never b1aaa", ""]
+    held = spark.createDataFrame([(i, True, t) for i, t in enumerate(more)], docs.schema)
+    for r in lm.score(held, trained).collect():
+        last, want = 2, 0.0
+        for w in more[r["doc_id"]].split():
+            c, e = emitted(w)
+            want, last = want + m.transition[last, c] + e, c
+        assert r["score"] == pytest.approx(want + m.transition[last, 2] + m.emission[-1])
+
+
+def test_class_gains_are_likelihood_differences():
+    rng = np.random.default_rng(4)
+    table = rng.integers(20, 60, (4, 4)).astype(float)
+    u, s, n = np.array([0, 0, 1, 1]), np.array([1, 64 + 2, 3, 64]), np.array([5.0, 5.0, 2.0, 2.0])
+    got = lm.gains(u, s, n, np.array([0, 1]), table, 3)
+    for unit, own, before, after, count in ((0, 0, 1, 2, 5), (1, 1, 3, 0, 2)):
+        def moved(b):
+            t = table.copy()
+            t[before, own] -= count
+            t[own, after] -= count
+            if b is not None:
+                t[before, b] += count
+                t[b, after] += count
+            return lm.likelihood(t)
+        fixed = lm._xlogx(table.sum(1)).sum()
+        values = np.array([moved(b) for b in range(3)])
+        assert got[unit].argmax() == values.argmax() and fixed > 0
+        assert got[unit] - got[unit].max() == pytest.approx(values - values.max(), abs=1e-6)
+
+
+def test_most_frequent_words_break_ties_by_hash(spark):
+    """A flat vocabulary larger than the bound is cut, not dropped."""
+    counts = spark.range(20_000).select(F.abs(F.xxhash64("id")).alias("h"), F.lit(7).cast("long").alias("n"))
+    assert 0.9 * 4096 < counts.where(lm._top(counts, 4096)).count() <= 4096
+    assert counts.where(lm._top(counts, 30_000)).count() == 20_000
+
+
 def test_exchange_raises_the_likelihood(spark):
     """Words of two alternating kinds end up in two classes."""
     rng = np.random.default_rng(1)
