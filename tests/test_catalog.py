@@ -43,3 +43,8 @@ def test_entry_has_a_stable_schema(spark):
 
 def test_entry_names_every_query():
     assert QUERIES.items() <= entry.queries().items() and ORACLES.items() <= entry.oracle_sql().items()
+
+
+def test_donors_are_the_nearest_of_up_to_32(spark):
+    drawn = [r["drawn"] for r in QUERIES["j14_donors"](spark, SMALL).select("drawn").collect()]
+    assert 9 < max(drawn) <= 33

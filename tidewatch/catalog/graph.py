@@ -121,8 +121,8 @@ def c31_relation_sample(spark, sf):
 @query("j14_donors")
 def j14_donors(spark, sf):
     events = shared_stage(_events(spark, sf).withColumn("x", F.array(F.log1p("byte_count"))))
-    private = graph.private_chain(events, H, 3, 2, SHORT_WINDOW)
-    return graph.donors(events, private, event_clocks(events), "x", 3, 8, 10 * SHORT_WINDOW)
+    private = graph.private_chain(events, H, 8, 4, SHORT_WINDOW)
+    return graph.donors(events, private, event_clocks(events), "x", 3, 32, 10 * SHORT_WINDOW)
 
 
 @query("j11_causal_response", ctes("packets", ("k", """SELECT *, src_port % 3 AS sp, dst_port % 3 AS dp FROM packets"""), ("x", """
