@@ -11,7 +11,7 @@ SMALL = "/root/testdata/sf0.001"
 
 def test_entry_offers_the_queries():
     assert QUERIES.items() <= entry.queries().items() and "pipeline" in entry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

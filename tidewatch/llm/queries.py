@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import exact, language, licenses, lm, mixing, near, packing, secrets, warc, winnow
+from tidewatch.llm import exact, language, licenses, lm, mixing, near, packing, phrases, secrets, substring, warc, whitening, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,18 @@ def op9(spark, folder):
 @query("op10_language")
 def op10(spark, folder):
     return language.identify(documents(spark, folder))
+
+
+@query("op11_phrases", phrases.ORACLE)
+def op11(spark, folder):
+    return phrases.collocations(documents(spark, folder))
+
+
+@query("op12_whitening")
+def op12(spark, folder):
+    return whitening.whiten(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+@query("op13_substring", substring.ORACLE)
+def op13(spark, folder):
+    return substring.without_repeats(documents(spark, folder), with_text=False)

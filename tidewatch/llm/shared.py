@@ -1,6 +1,7 @@
 """Small helpers that several operators use."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,3 +26,28 @@ def in_slots(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     slot = F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int")
     slots = wanted.select(slot.alias("_slot")).distinct()
     return rows.withColumn("_slot", slot).join(F.broadcast(slots), "_slot", "left_semi").drop("_slot")
+
+
+#: Bits of the sets that `slot_bits` makes: 16 MB, whatever the table's size.
+BITS = 1 << 27
+
+
+def slot_bits(keys: DataFrame, key: str) -> np.ndarray:
+    """A bit for each slot in which a key of `keys` lies, as 2**21 numbers of 64 bits.
+
+    It goes in front of a shuffle to keep back rows that cannot matter; rows that share a
+    slot pass as well and fall out in the exact step behind. Its size is fixed: with many
+    more keys than slots it holds nothing back, and the shuffle carries all rows.
+    """
+    slot = F.pmod(F.col(key), F.lit(BITS))
+    cells = keys.select(F.floor(slot / 64).cast("int").alias("cell"), F.expr(f"shiftleft(1L, cast(pmod({key}, 64) as int))").alias("bit"))
+    found = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(BITS // 64, np.int64)
+    out[found.column("cell").to_numpy()] = found.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def in_bits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the unsigned 64-bit keys lie in a slot of `slot_bits`."""
+    slot = keys & np.uint64(BITS - 1)
+    return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1

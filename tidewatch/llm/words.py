@@ -73,6 +73,24 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator
         at = end
 
 
+def cut(data: np.ndarray, places: np.ndarray, breaks: np.ndarray, limit: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Cut a single long text behind bytes of `breaks` into parts of about `limit` bytes; several texts stay as they are."""
+    if len(places) != 2 or len(data) <= limit:
+        yield data, places
+        return
+    at = 0
+    while at < len(data):
+        to = min(at + limit, len(data))
+        while to < len(data):
+            gap = np.flatnonzero(breaks[data[at:to]])
+            if len(gap):
+                to = at + int(gap[-1]) + 1
+                break
+            to = min(to + limit, len(data))
+        yield data[at:to], np.array([0, to - at])
+        at = to
+
+
 @dataclass
 class Words:
     hash: np.ndarray
@@ -172,3 +190,12 @@ def word_counts(data: np.ndarray, places: np.ndarray, kept: np.ndarray, lower: b
     total = np.zeros(len(data) + 1, np.int64)
     np.cumsum(begins, out=total[1:])
     return np.diff(total[places])
+
+
+def word_hashes(data: np.ndarray, places: np.ndarray, kept: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and bounds of `words` alone, at eight bytes a word even for a very long text."""
+    if len(places) != 2:
+        found = words(data, places, kept, lower)
+        return found.hash, found.bounds
+    hashes = np.concatenate([words(d, p, kept, lower).hash for d, p in cut(data, places, ~kept)])
+    return hashes, np.array([0, len(hashes)])
