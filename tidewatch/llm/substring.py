@@ -158,13 +158,12 @@ def _repeats(texts: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataF
     """Texts that may hold a repeat, and of each key with one the list of its repeated stretches (first window, number less one)."""
     counts = _anchor_counts(texts.select("key", "text"), length, gram).where(F.col("n") > 1)
     anchors = shared_stage(_anchors(texts.select("key", "text"), slot_bits(counts, "h"), length, gram))
-    extents = anchors.groupBy("h", "extent").agg(F.count(F.lit(1)).alias("n"))
+    extents = anchors.groupBy("h", "extent").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at")).alias("one"))
     seeds = extents.groupBy("h").agg(F.sum("n").alias("places"), F.count(F.lit(1)).alias("kinds")).where(F.col("places") > 1)
-    # Of an anchor with one extent, the extent is repeated as a whole; of several, each is looked at.
-    met = anchors.join(extents.join(seeds, "h"), ["h", "extent"])
-    whole = met.where(F.col("n") > 1).select("key", F.floor(F.col("at") / length).alias("stretch"))
-    chosen = met.where(F.col("kinds") > 1).groupBy("h", "extent").agg(F.min(F.struct("key", "at")).alias("one"), F.first("n").alias("n"))
-    chosen = chosen.groupBy("one.key").agg(F.collect_list(F.struct(F.col("one.at").alias("at"), "h", "n")).alias("ends"))
+    # An extent that occurs twice is repeated as a whole; where an anchor has several, each is looked at.
+    whole = anchors.join(extents.where(F.col("n") > 1).select("h", "extent"), ["h", "extent"]).select("key", F.floor(F.col("at") / length).alias("stretch"))
+    chosen = extents.join(seeds.where(F.col("kinds") > 1).select("h"), "h").select("one.key", F.struct("one.at", "h", "n").alias("end"))
+    chosen = chosen.groupBy("key").agg(F.collect_list("end").alias("ends"))
 
     touched = slot_bits(anchors, "key")
     sent = texts.sparkSession.sparkContext.broadcast(touched)
