@@ -77,7 +77,7 @@ def plain_phrases(rows, least, most, inside):
     return {(lang, i + 1, x[2].decode(), -x[1], x[3], x[4], n[lang], -x[0]) for lang, xs in out.items() for i, x in enumerate(sorted(xs)[:most])}
 
 
-@pytest.mark.parametrize("least,most,inside,budget", [(2, 2000, 50, 1 << 22), (3, 40, 50, 20), (2, 25, 80, 3), (10, 2000, 50, 50)])
+@pytest.mark.parametrize("least,most,inside,budget", [(2, 2000, 50, 1 << 22), (3, 40, 50, 800), (2, 25, 80, 250), (10, 2000, 50, 500)])
 def test_phrases_match_counting(spark, least, most, inside, budget):
     rows = made_texts()
     got = phrases.collocations(table(spark, rows), least, most, inside, budget).collect()

@@ -5,17 +5,17 @@ language each. They are counted level by level, as a suffix tree is built by ver
 partitioning:
 
 * Level 1 counts words. Only words seen `least` times can stand in a phrase.
-* Word prefixes are dealt into groups of about `budget` suffixes each. A prefix with more
-  suffixes than the budget is extended: its two-word prefixes are dealt on their own, and
-  those beyond the budget once more as three-word prefixes, so a very common word never
-  fills one group.
+* Word prefixes are dealt into groups of at most about `budget` suffixes each. A prefix with
+  more than a quarter of a group's suffixes is extended: its two-word prefixes are dealt on
+  their own, and those as large once more as three-word prefixes, so a very common word
+  never fills one group.
 * Each group sorts its suffixes and reads its subtree off them in one pass; the totals of
   the leaves are the counts. A branch that stays below `least` is closed: the next level
   reads only suffixes whose branches are open.
 
 Every task merges equal suffixes before they are shuffled. A word is told apart by 64 bits of
-its bytes and its language. What is broadcast is bounded: the prefixes beyond the budget, at
-most 2**20, and one bit a slot for open branches (`slot_bits`), which only keeps suffixes
+its bytes and its language. What is broadcast is bounded: the extended prefixes, at most four
+a group, and one bit a slot for open branches (`slot_bits`), which only keeps suffixes
 back early; counts are exact.
 
 A null text is empty, a null language is "und". Empty texts and empty tables give no rows;
@@ -39,7 +39,8 @@ ENDS = np.zeros(256, bool)
 ENDS[[*map(ord, ".,;:!?"), *range(0x0A, 0x0E)]] = True
 WORD = ~ENDS
 WORD[[0x20, 0x09]] = False
-MOST_DEEP = 1 << 20
+#: Groups at most; beyond that they grow, sorted with spill and read as a stream.
+MOST_GROUPS = 1 << 18
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -129,7 +130,7 @@ def pair_code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _leaves(rows: DataFrame, depth: int, least: int, groups: int, deep: list[list[int]]) -> DataFrame:
     """Totals of the subtrees' leaves at `depth`, those below `least` closed.
 
-    `deep` lists the prefixes beyond the budget: words at the first place, pairs (by their code) at the second.
+    `deep` lists the prefixes to extend: words at the first place, pairs (by their code) at the second.
     """
     names = [f"w{i + 1}" for i in range(depth)]
     sc = rows.sparkSession.sparkContext
@@ -195,14 +196,14 @@ def collocations(docs: DataFrame, least: int = 10, most: int = 2000, inside_perc
     table = shared_stage(word_table(rows))
     sizes = table.groupBy("lang").agg(F.sum("n").alias("total"))
     whole = int(sizes.agg(F.sum("total")).first()[0] or 0)
-    budget = max(budget, -(-whole // MOST_DEEP))  # so that at most MOST_DEEP prefixes lie beyond it
-    groups = max(1, -(-whole // budget), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    groups = max(1, min(MOST_GROUPS, -(-whole // budget)), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    large = -(-whole // (4 * groups))  # fewer than four prefixes a group are larger
     common = table.where(F.col("n") >= least)
-    deep_words = [r["w"] for r in bounded_rows(common.where(F.col("n") > budget).select("w"), MOST_DEEP)]
+    deep_words = [r["w"] for r in bounded_rows(common.where(F.col("n") > large).select("w"), 4 * groups)]
     pairs = shared_stage(_leaves(_suffixes(rows, 2, slot_bits(common, "w")), 2, least, groups, [deep_words]))
 
     coded = pairs.mapInArrow(_with_code, "w1 long, w2 long, n long, code long")
-    deep_pairs = [r["code"] for r in bounded_rows(coded.where(F.col("n") > budget).select("code"), MOST_DEEP)]
+    deep_pairs = [r["code"] for r in bounded_rows(coded.where(F.col("n") > large).select("code"), 4 * groups)]
     triples = _leaves(_suffixes(rows, 3, slot_bits(coded, "code")), 3, least, groups, [deep_words, deep_pairs])
     triples = shared_stage(triples.select("w1", "w2", "w3", F.col("n").alias("a")))
 
