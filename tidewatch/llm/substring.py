@@ -159,6 +159,7 @@ def _repeats(texts: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataF
     counts = _anchor_counts(texts.select("key", "text"), length, gram).where(F.col("n") > 1)
     anchors = shared_stage(_anchors(texts.select("key", "text"), slot_bits(counts, "h"), length, gram))
     extents = anchors.groupBy("h", "extent").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at")).alias("one"))
+    extents = shared_stage(extents)  # the joins below then shuffle both sides, so that run-time statistics can split a hot key
     seeds = extents.groupBy("h").agg(F.sum("n").alias("places"), F.count(F.lit(1)).alias("kinds")).where(F.col("places") > 1)
     # An extent that occurs twice is repeated as a whole; where an anchor has several, each is looked at.
     whole = anchors.join(extents.where(F.col("n") > 1).select("h", "extent"), ["h", "extent"]).select("key", F.floor(F.col("at") / length).alias("stretch"))
@@ -175,8 +176,10 @@ def _repeats(texts: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataF
 
     held = texts.withColumn("held", may_repeat("key"))
     windows = _windows(held.where("held").join(chosen, "key").select("key", "doc_id", "text", "ends"), length)
-    again = windows.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("a", "b")
-    single = windows.where(F.col("key").isNotNull()).join(again, ["a", "b"]).select("key", (F.col("place") * length).alias("stretch"))
+    again = windows.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") > 1)
+    both = lambda df: df.withColumn("ab", F.xxhash64("a", "b"))  # one more column asks for a shuffle of its own on either side
+    single = both(windows.where(F.col("key").isNotNull()).drop("n")).join(both(again), ["a", "b", "ab"])
+    single = single.select("key", (F.col("place") * length).alias("stretch"))
     spans = whole.union(single).groupBy("key").agg(F.collect_set("stretch").alias("spans"))
     return held, spans
 
