@@ -104,6 +104,19 @@ def test_row_numbers_follow_second_then_key(packet_table, request, sliced):
     flows = ops.number_flows(ops.flow_statistics(packet_table(random_packets()))).collect()
     ordered = sorted(flows, key=lambda r: (r["timestamp_second"], r["src_ip"], r["dst_ip"], r["src_port"], r["dst_port"]))
     assert [r["row_id"] for r in ordered] == list(range(len(flows)))
+    numbered = ops.flow_statistics(packet_table(random_packets()), number=True)
+    assert {tuple(r[c] for c in flows[0].__fields__) for r in numbered.collect()} == {tuple(r) for r in flows}
+
+
+def test_a_flow_over_several_slices_has_exact_quartiles(spark, packet_table, many_slices):
+    rng = np.random.default_rng(8)
+    times = np.sort(rng.random(6000)) * 0.9
+    rows = [(float(t), "a", "b", 1, 2, "tcp", 60 + i % 7, 0) for i, t in enumerate(times)] + [(0.5, "c", "b", 1, 2, "udp", 99, 0), (0.75, "c", "b", 1, 2, "udp", 99, 0)]
+    got = {r["src_ip"]: r for r in ops.flow_statistics(packet_table(rows), number=True).collect()}
+    gaps = np.diff(times)
+    assert [got["a"][f"iat_p{q}"] for q in (25, 50, 75)] == pytest.approx(np.quantile(gaps, [0.25, 0.5, 0.75]).tolist(), rel=1e-9)
+    assert got["a"]["packet_count"] == 6000 and got["a"]["iat_mean"] == pytest.approx(gaps.mean())
+    assert (got["c"]["iat_p50"], got["a"]["row_id"], got["c"]["row_id"]) == (0.25, 0, 1)
 
 
 def test_calibration_split_rounds_half_to_even(spark):

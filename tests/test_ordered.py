@@ -68,6 +68,30 @@ def test_exact_quantiles(skewed, request, sliced, method):
     assert whole["a"] == pytest.approx(np.quantile([r[2] for r in SKEWED], 0.5, method=method))
 
 
+@pytest.mark.parametrize("method", ["linear", "higher"])
+def test_exact_quantiles_of_large_groups(spark, method):
+    """Groups beyond the size that is its own bracket: smooth, tied, of few values, with infinities and NaN."""
+    rng = np.random.default_rng(4)
+    data = {
+        "smooth": rng.normal(size=30_000), "tied": np.round(rng.exponential(size=20_001), 1), "two": rng.integers(0, 2, 9_000) * 1.0, "one": np.full(5_000, 3.5),
+        "far": np.r_[rng.normal(size=4_000) * 1e300, [np.inf] * 40, [-np.inf] * 40], None: rng.integers(-50, 50, 2_001) * 1.0, "pair": np.array([1.0, 2.0])}
+    rows = spark.createDataFrame([(k, float(v)) for k, vs in data.items() for v in vs] + [("smooth", None), ("empty", None)], "k string, v double")
+    levels = {"a": 0.0, "b": 0.001, "c": 0.25, "d": 0.5, "e": 0.95, "f": 0.999, "g": 1.0}
+    got = {r["k"]: [r[n] for n in levels] for r in ordered.exact_quantiles(rows, ["k"], "v", levels, method).collect()}
+    assert got.keys() == data.keys()
+
+    def plain(values, q):
+        at = (len(values) - 1) * q
+        low, high = (int(np.ceil(at)),) * 2 if method == "higher" else (int(np.floor(at)), min(int(np.floor(at)) + 1, len(values) - 1))
+        return values[low] if values[low] == values[high] else values[low] + (values[high] - values[low]) * (at - low)
+
+    for k, values in data.items():
+        assert got[k] == pytest.approx([plain(np.sort(values), q) for q in levels.values()], rel=1e-12)
+    many = spark.createDataFrame([(float(v),) for v in np.r_[rng.normal(size=5_000), [np.nan] * 1_000]], "v double")
+    top = ordered.exact_quantiles(many, [], "v", {"a": 0.5, "b": 0.99}, "higher").first()
+    assert top["a"] == np.sort(np.array([r[0] for r in many.collect()]))[3000] and np.isnan(top["b"])
+
+
 def test_trailing_window_across_blocks(spark):
     rows = spark.createDataFrame([("k", int(t), float(t)) for t in range(0, 200, 3)], "k string, t long, v double")
     out = ordered.trailing_window(rows, ["k"], "t", 5, {"s": F.sum("v"), "n": F.count("v")}).collect()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidewatch.catalog.context import HOSTS, host_flows, host_sql
 from tidewatch.catalog.registry import ctes, grid, grid_sql, grids, query
 from tidewatch.operators import calibration as ops, context
-from tidewatch.operators.flows import FLOW_STATISTICS, flow_statistics, number_flows
+from tidewatch.operators.flows import FLOW_STATISTICS, flow_statistics
 from tidewatch.plans.views import SHORT_WINDOW, embedding_flows, packets, tied_scores
 from tidewatch.session import bounded_rows, shared_stage
 
@@ -14,7 +14,7 @@ SCORES = ["byte_count", "packet_len_std", "active_duration"]
 
 
 def _flows(spark, sf):
-    return shared_stage(number_flows(flow_statistics(packets(spark, sf), SHORT_WINDOW)))
+    return shared_stage(flow_statistics(packets(spark, sf), SHORT_WINDOW, number=True))
 
 
 def _normal(flows):

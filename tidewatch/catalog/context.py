@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.catalog.registry import ctes, grid, grid_sql, grids, grids_sql, query
 from tidewatch.operators import context as ops
-from tidewatch.operators.flows import number_flows, flow_statistics
+from tidewatch.operators.flows import flow_statistics
 from tidewatch.operators.ordered import group_totals
 from tidewatch.plans.views import SHORT_WINDOW, embedding_flows, packets, relations
 from tidewatch.session import shared_stage
@@ -196,7 +196,7 @@ def c13_channel_profile(spark, sf):
 
 def host_flows(spark, sf):
     # The flow table is the stage boundary every context reads from.
-    flows = shared_stage(number_flows(flow_statistics(packets(spark, sf), SHORT_WINDOW)))
+    flows = shared_stage(flow_statistics(packets(spark, sf), SHORT_WINDOW, number=True))
     return flows.withColumns({
         "role": F.when(F.col("protocol") == "tcp", 0).otherwise(1), "regime": F.col("dst_port") - 80,
     })

@@ -116,7 +116,7 @@ def a5_single_packet_flows(spark, sf):
 
 @query("a6_numbered_flows", ctes("flows") + f"SELECT {_FLOW_KEY_SQL}, row_id, binary_label FROM flows")
 def a6_numbered_flows(spark, sf):
-    flows = ops.number_flows(ops.flow_statistics(packets(spark, sf), WINDOW))
+    flows = ops.flow_statistics(packets(spark, sf), WINDOW, number=True)
     return flows.select(*_flow_columns(flows), "row_id", "binary_label")
 
 

@@ -130,7 +130,7 @@ def s6_capture_sources(spark, sf):
 @query("s7_flow_contract", ctes("flows") + f"""
 SELECT {_FLOW_KEY_SQL}, row_id, {grid_sql("packet_count", 3)} AS packet_count FROM flows""")
 def s7_flow_contract(spark, sf):
-    flows = stores.flow_contract(ops.number_flows(ops.flow_statistics(packets(spark, sf), WINDOW)))
+    flows = stores.flow_contract(ops.flow_statistics(packets(spark, sf), WINDOW, number=True))
     return flows.select(*_flow_columns(flows), "row_id", grid("packet_count", 3).alias("packet_count"))
 
 
@@ -141,7 +141,7 @@ _RULES = ["not_finite", "negative", "no_packet", "unordered_seconds", "duplicate
 SELECT r.rule, CAST(CASE WHEN r.rule = 'labels_in_training' THEN (SELECT count(*) FROM flows) ELSE 0 END AS BIGINT) AS violations
 FROM (SELECT unnest({_RULES}) AS rule) r""")
 def s8_capture_violations(spark, sf):
-    flows = ops.number_flows(ops.flow_statistics(packets(spark, sf), WINDOW))
+    flows = ops.flow_statistics(packets(spark, sf), WINDOW, number=True)
     return stores.validate_capture(flows, training=True)
 
 

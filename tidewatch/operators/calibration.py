@@ -41,7 +41,7 @@ def fit_robust(df: DataFrame, columns: Sequence[str], floor: float = 0.0, log: b
     """component, center, scale: median and interquartile range; zero range becomes 1, then the floor."""
     long = unpivot(df, by, columns)
     long = long.withColumn("value", F.log1p("value")) if log else long
-    q = exact_quantiles(long, [*by, "component"], "value", {"q25": 0.25, "center": 0.5, "q75": 0.75})
+    q = exact_quantiles(long, [*by, "component"], "value", {"q25": 0.25, "center": 0.5, "q75": 0.75}, few_groups=not by)
     spread = F.col("q75") - F.col("q25")
     usable = F.when(spread < 10 * 2.220446049250313e-16, 1.0).otherwise(spread)
     return q.select(*by, "component", "center", F.greatest(F.lit(float(floor)), usable).alias("scale"))
@@ -56,7 +56,7 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, columns: Sequence[str], cente
 
 def fit_quantile(df: DataFrame, columns: Sequence[str], low: float, high: float) -> DataFrame:
     """component, low, high; a degenerate width is opened a little."""
-    q = exact_quantiles(unpivot(df, [], columns), ["component"], "value", {"low": low, "high": high})
+    q = exact_quantiles(unpivot(df, [], columns), ["component"], "value", {"low": low, "high": high}, few_groups=True)
     opened = F.col("low") + F.greatest(F.abs("low") * 1e-6, F.lit(1e-6))
     return q.withColumn("high", F.when(F.col("high") - F.col("low") < 1e-12, opened).otherwise(F.col("high")))
 
@@ -67,7 +67,7 @@ def quantile_scaled(value: Column, low: Column, high: Column) -> Column:
 
 
 def fit_affine(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return exact_quantiles(unpivot(df, [], columns), ["component"], "value", {"q50": 0.5, "q95": 0.95, "q99": 0.99})
+    return exact_quantiles(unpivot(df, [], columns), ["component"], "value", {"q50": 0.5, "q95": 0.95, "q99": 0.99}, few_groups=True)
 
 
 def affine_scaled(value: Column, q50: Column, q95: Column) -> Column:
@@ -117,7 +117,7 @@ def ecdf(calibration: DataFrame, rows: DataFrame, value: str, by: Sequence[str]
 
 def thresholds(calibration: DataFrame, columns: Sequence[str], fpr: float) -> DataFrame:
     """component, threshold: the order statistic at or above quantile 1 - fpr."""
-    return exact_quantiles(unpivot(calibration, [], columns), ["component"], "value", {"threshold": 1.0 - fpr}, method="higher")
+    return exact_quantiles(unpivot(calibration, [], columns), ["component"], "value", {"threshold": 1.0 - fpr}, method="higher", few_groups=True)
 
 
 def joint_evidence(calibration: DataFrame, rows: DataFrame, parts: Sequence[str]) -> DataFrame:

@@ -8,9 +8,11 @@ from tidewatch.functions.keys import (
     ENDPOINTS, FLOW_IDENTITY, canonical_key, directional_key, eligible,
     enough_packets, flow_key, micro_bin, tenth_bin, window_coords, with_ids,
 )
+from tidewatch.operators.calibration import unpivot
 from tidewatch.operators.ordered import (
-    exact_quantiles, previous_row, row_positions, same_keys,
+    SLICE, exact_quantiles, previous_row, row_positions, same_keys, slice_groups, sliced_positions, spread_groups,
 )
+from tidewatch.session import shared_stage
 
 SEGMENT = ["capture_id", "window_index", *ENDPOINTS]
 FLOW = ["capture_id", "timestamp_second", *FLOW_IDENTITY]
@@ -143,11 +145,13 @@ def bin_columns() -> list[Column]:
     return [active.alias("active_bin_count"), *_mean_std_max(bin_bytes, "bin_bytes"), *_mean_std_max(bin_packets, "bin_packets")]
 
 
-def flow_statistics(packets: DataFrame, window: int = 1, keep_bins: bool = False) -> DataFrame:
+def flow_statistics(packets: DataFrame, window: int = 1, keep_bins: bool = False, number: bool = False) -> DataFrame:
     """The 25 statistics of every directional flow of `window` seconds.
 
-    Gaps come from slices of (flow, time), their quartiles from ranks of distinct gaps,
-    so that no flow has to fit into one task.
+    Gaps come from slices of (flow, time). A flow within one slice has its quartiles taken
+    along with its sums; those of the few flows that spread over several come from sketches
+    and counts, so that no flow has to fit into one task. With `number`, the same slices also
+    give row_id, the position of the flow in its capture by (second, key).
     """
     w = F.lit(float(window))
     start = F.floor(F.col("ts") / w)
@@ -156,12 +160,22 @@ def flow_statistics(packets: DataFrame, window: int = 1, keep_bins: bool = False
         "ts", "frame_number", F.col("wire_length").cast("int").alias("wire_length"), "binary_label",
         tenth_bin(F.col("ts") - start * w, window).alias("bin"),
     )
-    rows = previous_row(rows, FLOW, ["ts", "frame_number"], ["ts"], "_prev")
-    rows = rows.withColumn("gap", F.col("ts") - F.col("_prev.ts")).drop("_prev")
-    flows = rows.groupBy(*FLOW).agg(*mergeable_aggregates(), *[
+    sliced = slice_groups(rows, FLOW, ["ts", "frame_number"])
+    spread = spread_groups(sliced, FLOW)
+
+    def with_gaps(part: DataFrame) -> DataFrame:
+        part = previous_row(part, FLOW, ["ts", "frame_number"], ["ts"], "_prev", sliced=True)
+        return part.withColumn("gap", F.col("ts") - F.col("_prev.ts")).drop("_prev")
+
+    rows = same_keys(with_gaps(sliced), F.broadcast(spread), FLOW)
+    quarters = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
+    short = F.percentile(F.when(F.col("_several").isNull(), F.col("gap")), F.array(*map(F.lit, quarters.values())))
+    flows = rows.groupBy(*FLOW).agg(*mergeable_aggregates(), short.alias("_gq"), F.min(SLICE).alias("_home"), *[
         F.avg("gap").alias("_gm"), F.stddev_pop("gap").alias("_gs"), F.min("gap").alias("_g0"), F.max("gap").alias("_g1")])
-    gaps = exact_quantiles(rows, FLOW, "gap", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
-    flows = same_keys(flows, gaps.select(*FLOW, F.array("q1", "q2", "q3").alias("_gq")), FLOW)
+    if not spread.isEmpty():
+        long = with_gaps(same_keys(sliced, F.broadcast(spread), FLOW, "inner"))
+        long = exact_quantiles(long, FLOW, "gap", quarters, few_groups=True).select(*FLOW, F.array(*quarters).alias("_gl"))
+        flows = same_keys(flows, long, FLOW).withColumn("_gq", F.coalesce("_gl", "_gq"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     bin_bytes = [F.col(f"_b{b}") for b in range(10)]
     bin_packets = [F.col(f"_p{b}") for b in range(10)]
@@ -169,18 +183,21 @@ def flow_statistics(packets: DataFrame, window: int = 1, keep_bins: bool = False
         "event_id", "first_packet_time", "binary_label",
         *([F.array(*bin_packets).alias("bin_packets"), F.array(*bin_bytes).alias("bin_bytes")] if keep_bins else []),
     ]
-    return flows.select(
+    flows = flows.select(
         *FLOW, *size_columns(),
         zero(F.col("_gm")).alias("iat_mean"), zero(F.col("_gs")).alias("iat_std"),
         zero(F.col("_g0")).alias("iat_min"), zero(F.col("_g1")).alias("iat_max"),
         *[zero(F.get("_gq", i)).alias(f"iat_p{q}") for i, q in enumerate((25, 50, 75))],
         F.when(F.col("_gm") > 0, F.col("_gs") / F.col("_gm")).otherwise(0.0).alias("iat_cv"),
-        *bin_columns(), *extra,
+        *bin_columns(), *extra, "_home",
     )
+    if not number:
+        return flows.drop("_home")
+    return sliced_positions(flows, sliced, FLOW[:1], FLOW[1:], "_home", "row_id")
 
 
 def number_flows(flows: DataFrame) -> DataFrame:
-    """row_id: position of the flow in its capture by (second, key)."""
+    """row_id: position of the flow in its capture by (second, key); `flow_statistics` gives it at less cost."""
     order = ["timestamp_second", *FLOW_IDENTITY]
     return row_positions(flows, ["capture_id"], order, "row_id")
 
@@ -298,15 +315,17 @@ def load_summary(flows: DataFrame, tick: int = 1) -> DataFrame:
         F.count(F.lit(1)).alias("flows"), F.sum("packet_count").cast("long").alias("packets"),
         F.sum("byte_count").cast("long").alias("bytes"),
     )
+    busy = shared_stage(busy)
     span = busy.groupBy("capture_id").agg(F.min("tick").alias("_a"), F.max("tick").alias("_b"))
     axis = span.select("capture_id", (F.col("_b") - F.col("_a") + 1).alias("duration"), F.explode(F.sequence("_a", "_b")).alias("tick"))
     dense = axis.join(busy, ["capture_id", "tick"], "left").fillna(0, ["flows", "packets", "bytes"])
+    measures = ("flows", "packets", "bytes")
     out = dense.groupBy("capture_id").agg(
         F.first("duration").alias("duration"),
-        *[f(m).alias(f"{m}_{n}") for m in ("flows", "packets", "bytes") for n, f in (("mean", F.avg), ("peak", F.max))],
+        *[f(m).alias(f"{m}_{n}") for m in measures for n, f in (("mean", F.avg), ("peak", F.max))],
     )
-    for measure in ("flows", "packets", "bytes"):
-        q = exact_quantiles(dense, ["capture_id"], measure, {f"{measure}_p95": 0.95, f"{measure}_p99": 0.99})
-        out = out.join(q, "capture_id")
+    q = exact_quantiles(unpivot(dense, ["capture_id"], measures), ["capture_id", "component"], "value", {"p95": 0.95, "p99": 0.99})
+    out = out.join(q.groupBy("capture_id").agg(
+        *[F.max(F.when(F.col("component") == m, F.col(n))).alias(f"{m}_{n}") for m in measures for n in ("p95", "p99")]), "capture_id")
     scale = F.lit(8e-6 / tick)
     return out.withColumns({f"mbps_{n}": F.col(f"bytes_{n}") * scale for n in ("mean", "p95", "p99", "peak")})

@@ -1,6 +1,6 @@
 """Order-dependent building blocks that do not depend on small groups.
 
-There is one way for every size. Rows are range-partitioned on (group, order), so that a
+There is one way for every size. For lags, running values and positions, rows are range-partitioned on (group, order), so that a
 group holding a third of the table is spread over many tasks; adaptive execution merges the
 ranges of a small table into a few. The slices are written once to the shared stage folder,
 and a table with one row per (group, slice) carries sums or last rows from slice to slice.
@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.session import shared_stage
+from tidewatch.session import bounded_rows, shared_stage
 
 SLICE = "_slice"
 
@@ -61,14 +61,34 @@ def row_positions(df: DataFrame, by: Sequence[str], order: Sequence, name: str)
     return running_sums(df, by, order, {name: F.lit(1).cast("long")})
 
 
-def previous_row(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], name: str) -> DataFrame:
-    """Struct of `columns` of the row just before, null for the first row of a group."""
+def previous_row(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], name: str, sliced: bool = False) -> DataFrame:
+    """Struct of `columns` of the row just before, null for the first row of a group.
+
+    `sliced` rows come from `slice_groups` with the same keys and order and keep their slice.
+    """
     kept = F.struct(*columns)
-    rows = slice_groups(df, by, order)
+    rows = df if sliced else slice_groups(df, by, order)
     tails = rows.groupBy(*by, SLICE).agg(F.max_by(kept, F.struct(*order)).alias("_tail"))
     carried = tails.select(*by, SLICE, F.lag("_tail").over(_across(by)).alias("_carried"))
     out = same_keys(rows.withColumn(name, F.lag(kept).over(_slice_window(by, order))), carried, [*by, SLICE])
-    return out.withColumn(name, F.coalesce(name, "_carried")).drop("_carried", SLICE)
+    return out.withColumn(name, F.coalesce(name, "_carried")).drop("_carried", *([] if sliced else [SLICE]))
+
+
+def spread_groups(sliced: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Groups of a sliced table that lie in several slices: fewer than there are slices, as a local table."""
+    groups = sliced.select(*by, SLICE).distinct().groupBy(*by).agg((F.count(F.lit(1)) > 1).alias("_several")).where("_several")
+    return sliced.sparkSession.createDataFrame(bounded_rows(groups, MOST_GROUPS), groups.schema)
+
+
+def sliced_positions(groups: DataFrame, sliced: DataFrame, by: Sequence[str], order: Sequence[str], home: str, name: str) -> DataFrame:
+    """0-based position among the groups (by + order) of a sliced table, each in its first slice `home`; needs no new ranges."""
+    first = sliced.groupBy(*by, *order).agg(F.min(SLICE).alias(home))
+    counts = first.groupBy(*by, home).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy(home).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*by, home, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    within = groups.withColumn("_within", F.row_number().over(Window.partitionBy(*by, home).orderBy(*order)) - 1)
+    out = same_keys(within, offsets, [*by, home])
+    return out.withColumn(name, (F.col("_within") + F.col("_offset")).cast("long")).drop("_within", "_offset", home)
 
 
 def running_max(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
@@ -111,51 +131,88 @@ def group_totals(df: DataFrame, by: Sequence[str], totals: Mapping[str, Column])
     return same_keys(df, df.groupBy(*by).agg(*named), list(by), "inner")
 
 
+#: Size of the quantile sketch, half width of a bracket (four times the sketch's rank error)
+#: and the size up to which a whole group is its own bracket.
+SKETCH, HALF, WHOLE = 4096, 0.004, 2_000
+#: Takes the place of NaN, which sorts last, in sketches.
+LAST = 1.7976931348623157e308
+MOST_GROUPS = 100_000
+
+
 def exact_quantiles(
     df: DataFrame,
     by: Sequence[str],
     value: str,
     quantiles: Mapping[str, float],
     method: str = "linear",
-    small_domain: bool = False,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Exact quantiles per group; `method` is "linear" or "higher".
 
-    `small_domain` states that a group has few distinct values by construction
-    (a packet length, a mode number), so a per-group histogram always fits.
+    A mergeable sketch per group gives each quantile a bracket of values around its rank. A
+    second pass counts what lies below the brackets and, value by value, what lies inside;
+    counting on through a bracket finds the exact order statistic. Both passes combine
+    map-side, so no group is sorted or brought together; what is left of it is the
+    hundredth part inside a bracket, cut into cells once more. A rank outside its bracket
+    would be an error of ten standard deviations of the sketch and raises.
+
+    `few_groups` states that the groups are bounded by construction (a list of columns), so
+    that their brackets can be sent to all tasks; more than MOST_GROUPS are refused. Brackets of
+    other groups are staged as a table of one row a group.
     """
-    wanted = df.where(F.col(value).isNotNull())
-    counts = wanted.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    if method == "linear" and small_domain:
-        names = list(quantiles)
-        levels = F.array(*[F.lit(float(quantiles[n])) for n in names])
-        picked = wanted.groupBy(*by).agg(F.percentile(F.col(value).cast("double"), levels).alias("_q"))
-        return picked.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    ranked = running_sums(counts, by, [value], {"_before": F.col("_n")})
-    if by:
-        placed = same_keys(ranked, counts.groupBy(*by).agg(F.sum("_n").alias("_total")), by, "inner")
+    by = list(by)
+    levels = list(quantiles.items())
+    wanted = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
+    edges = F.array(*[F.lit(min(1.0, max(0.0, q + d))) for _, q in levels for d in (-HALF, HALF)])
+    model = wanted.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_total"),
+        F.kll_sketch_agg_double(F.when(F.isnan("_x"), LAST).otherwise(F.col("_x")), F.lit(SKETCH)).alias("_sketch"))
+    model = model.withColumn("_edges", F.kll_sketch_get_quantile_double("_sketch", edges)).where("_total > 0")
+    cells = []
+    for i, (_, q) in enumerate(levels):
+        rank = (F.col("_total") - 1) * F.lit(float(q))
+        whole = F.col("_total") <= WHOLE
+        low, high = F.get("_edges", F.lit(2 * i)), F.get("_edges", F.lit(2 * i + 1))
+        first = (F.ceil(rank) if method == "higher" else F.floor(rank)).alias("_first")
+        cells.append(F.struct(
+            F.lit(i).alias("_i"), F.when(whole | F.lit(q <= HALF), F.lit(float("-inf"))).otherwise(low).alias("_lo"),
+            F.when(whole | F.lit(q >= 1 - HALF) | (high >= LAST), F.lit(float("nan"))).otherwise(high).alias("_hi"),
+            first, F.lit(0.0).alias("_share") if method == "higher" else (rank - F.floor(rank)).alias("_share")))
+    brackets = model.select(*by, F.array(*cells).alias("_cells"))
+    # A sketch is drawn by chance: its brackets are fixed here, before anything is counted by them.
+    if by and not few_groups:
+        met = same_keys(wanted, shared_stage(brackets), by, "inner")
     else:
-        placed = ranked.withColumn("_total", counts.agg(F.sum("_n")).scalar())
-    end = F.col("_before") + F.col("_n")
-    picks, result = [], []
-    for i, (name, q) in enumerate(quantiles.items()):
-        position = (F.col("_total") - 1) * F.lit(float(q))
-        low = F.ceil(position) if method == "higher" else F.floor(position)
-        high = low if method == "higher" else F.least(low + 1, F.col("_total") - 1)
-        for tag, rank in (("l", low), ("h", high)):
-            hit = (rank >= F.col("_before")) & (rank < end)
-            picks.append((f"_{tag}{i}", F.when(hit, F.col(value).cast("double"))))
-        share = F.lit(0.0) if method == "higher" else F.max(position - low)
-        result.append((name, i, share))
-    placed = placed.withColumns(dict(picks))
-    near = placed.where(F.coalesce(*[F.col(n) for n, _ in picks]).isNotNull())
-    merged = near.groupBy(*by).agg(
-        *[F.max(n).alias(n) for n, _ in picks], *[s.alias(f"_s{i}") for _, i, s in result]
-    )
-    return merged.select(
-        *by,
-        *[(F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * F.col(f"_s{i}")).alias(n) for n, i, _ in result],
-    )
+        fixed = df.sparkSession.createDataFrame(bounded_rows(brackets, MOST_GROUPS), brackets.schema)
+        met = same_keys(wanted, F.broadcast(fixed), by, "inner") if by else wanted.withColumn("_cells", fixed.scalar())
+    met = met.select(*by, "_x", F.inline(F.filter("_cells", lambda c: F.col("_x") <= c["_hi"])))
+    # Equal-width cells within a bracket; -1 is all below it.
+    width = F.when((F.col("_lo") > float("-inf")) & (F.col("_hi") < LAST) & (F.col("_hi") > F.col("_lo")), (F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
+    inside = F.col("_x") >= F.col("_lo")
+    keys = [*by, "_i"]
+    values = met.groupBy(*keys, F.when(inside, F.col("_x")).alias("_v"), F.when(inside, F.coalesce(F.floor(width * 1024), F.lit(0))).otherwise(-1).cast("int").alias("_cell")).agg(
+        F.count(F.lit(1)).alias("_n"), F.first("_first").alias("_first"), F.first("_share").alias("_share"))
+    before = lambda order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    found = values.groupBy(*keys, "_cell").agg(
+        F.sum("_n").alias("_n"), F.min("_v").alias("_low"), F.first("_first").alias("_first"), F.first("_share").alias("_share"))
+    found = found.withColumns({"_before": F.coalesce(F.sum("_n").over(before("_cell")), F.lit(0)),
+                               "_next": F.lead("_low").over(Window.partitionBy(*keys).orderBy("_cell"))})
+    found = found.where((F.col("_first") >= F.col("_before")) & (F.col("_first") < F.col("_before") + F.col("_n")) & (F.col("_cell") >= 0))
+    inner = same_keys(values, found.select(*keys, "_cell", "_before", "_next"), [*keys, "_cell"], "inner")
+    inner = inner.withColumns({"_at": F.col("_before") + F.coalesce(F.sum("_n").over(before("_v")), F.lit(0)),
+                               "_after": F.coalesce(F.lead("_v").over(Window.partitionBy(*keys).orderBy("_v")), F.col("_next"))})
+    hit = (F.col("_first") >= F.col("_at")) & (F.col("_first") < F.col("_at") + F.col("_n"))
+    last_of_value = F.col("_first") + 1 >= F.col("_at") + F.col("_n")
+    second = F.when(last_of_value, F.col("_after")).otherwise(F.col("_v"))
+    result = F.when((F.col("_share") > 0) & ~second.eqNullSafe(F.col("_v")), F.col("_v") + (second - F.col("_v")) * F.col("_share")).otherwise(F.col("_v"))
+    picked = inner.where(hit).groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, result)).alias(f"_q{i}") for i in range(len(levels))])
+    lost = F.raise_error(F.lit("a rank lies outside its bracket")).cast("double")
+    sure = lambda c: F.when(F.col(c).isNull() & F.col("_some"), lost).otherwise(F.col(c))
+    if by:
+        picked = picked.withColumn("_some", F.lit(True))
+    else:  # a table without values has null quantiles
+        picked = picked.withColumn("_some", fixed.select(F.count(F.lit(1)) > 0).scalar())
+    return picked.select(*by, *[sure(f"_q{i}").alias(name) for i, (name, _) in enumerate(levels)])
 
 
 def trailing_window(

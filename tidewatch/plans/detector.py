@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.vectors import vector_mean
 from tidewatch.operators import activity, calibration
-from tidewatch.operators.flows import FLOW_STATISTICS, flow_statistics, number_flows
+from tidewatch.operators.flows import FLOW_STATISTICS, flow_statistics
 from tidewatch.session import bounded_rows, shared_stage
 
 KEY = ["capture_id", "row_id"]
@@ -28,7 +28,7 @@ def detect(
     summed, and a flow is flagged strictly above the normal q99 of the sum.
     """
     normal = F.col("binary_label") == 0 if normal is None else normal
-    flows = number_flows(flow_statistics(packets, window))
+    flows = flow_statistics(packets, window, number=True)
     if seed_column is not None:
         flows = flows.withColumn("_seed", seed_column)
     flows = shared_stage(flows.withColumn("_normal", normal))  # read by the fits and by the scoring

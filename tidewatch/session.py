@@ -18,6 +18,7 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096")  # quartiles of many small flows without a sort
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
