@@ -320,6 +320,28 @@ def test_mix_meets_targets(spark, docs):
     assert len(odd) == docs.count() and all(r["taken"] <= 2 * r["size"] for r in odd)
 
 
+def test_mix_comes_near_small_targets(spark):
+    """With the operator's own block size, sources of 20 to 500 words and one large one."""
+    sizes = {"a": 20, "b": 60, "c": 75, "d": 33, "e": 300, "f": 500, "g": 41, "h": 0, "i": 20_000, None: 150}
+    rows, n = [], 0
+    for source, size in sizes.items():
+        left = size
+        while left > 0:
+            own = min(left, 7 + n % 900)
+            rows.append((n, " ".join(["w"] * own), source))
+            left, n = left - own, n + 1
+    rows.append((n, "", "h"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = collections.Counter()
+    source = {i: s for i, _, s in rows}
+    out = mixing.taken(docs).collect()
+    for r in out:
+        got[source[r["doc_id"]]] += r["taken"]
+        assert r["taken"] <= 2 * r["size"]
+    for r in out:
+        assert abs(got[source[r["doc_id"]]] - r["target"]) <= max(2, 0.01 * r["target"])
+
+
 def test_mixed_documents_hold_the_words_taken(docs):
     taken = {}
     for r in mixing.taken(docs, block_words=8).collect():

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import text_of
+from tidewatch.llm.shared import text_of, whole_row
 
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -159,7 +159,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def unique_documents(docs: DataFrame) -> DataFrame:
     """One whole row of `docs` for each text, that with the smallest doc_id."""
-    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("_doc"), "text", F.col("doc_id").cast("long").alias("_id"))
+    rows = docs.select(whole_row(docs).alias("_doc"), "text", F.col("doc_id").cast("long").alias("_id"))
     keyed = digests(rows)
     kept = keyed.drop("text").join(groups(keyed, "_id"), "_digest").where(F.col("_id").eqNullSafe(F.col("_keep")))
     return kept.dropDuplicates(["_digest"]).select("_doc.*")

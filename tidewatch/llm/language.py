@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tidewatch.llm.shared import crc_of
+from tidewatch.llm.shared import crc_of, whole_row
 from tidewatch.llm.words import LOWER, slices
 from tidewatch.session import bounded_rows
 
@@ -163,8 +164,12 @@ def _has_letter(part: pa.RecordBatch, data: np.ndarray, places: np.ndarray) -> n
     return out
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of `docs` but text, with lang_pred and score."""
+def predict(docs: DataFrame, model: Model, mark: bool = True) -> DataFrame:
+    """All columns of `docs` but text, with lang_pred and score.
+
+    Without any language learned, texts with letters are marked as unknown like the others, or
+    with `mark` off get an empty prediction.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = [n for n in docs.columns if n != "text"]
 
@@ -173,19 +178,19 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for part, data, places in slices(batch, "text", 1 << 20):
                 some = _has_letter(part, data, places)
-                if not model.languages:
-                    some[:] = False
                 names, scores = [], []
                 for at in range(0, len(places) - 1, 128):
                     own = places[at:at + 129]
                     best, sure = model.predict(features(data[own[0]:own[-1]], own - own[0])) if model.languages else (None, None)
                     for i, ok in enumerate(some[at:at + 128]):
-                        names.append(model.languages[best[i]] if ok else UNKNOWN)
-                        scores.append(float(sure[i]) if ok else 0.0)
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), pa.array(names), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
+                        known = ok and bool(model.languages)
+                        names.append(model.languages[best[i]] if known else UNKNOWN if mark or not ok else "")
+                        scores.append(float(sure[i]) if known else 0.0)
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(n) for n in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes if n != "text") + ", lang_pred string, score double"
-    return docs.mapInArrow(tell, schema)
+    added = [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
+    return docs.mapInArrow(tell, StructType([*(f for f in docs.schema if f.name != "text"), *added]))
 
 
 def training_rows(docs: DataFrame, parts: int = 4, held: int = 2) -> DataFrame:
@@ -204,7 +209,10 @@ def identify(docs: DataFrame, parts: int = 4, held: int = 2, **how) -> DataFrame
 
 
 def known_language(docs: DataFrame, parts: int = 4, held: int = 2, **how) -> DataFrame:
-    """The rows of `docs` whose language can be told, with all their columns; null and letterless texts go."""
+    """The rows of `docs` whose language can be told, with all their columns; null and letterless texts go.
+
+    Where no row has a label, nothing can be told apart and every text with letters stays.
+    """
     model = fit(training_rows(docs, parts, held), **how)
-    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("_doc"), F.col("text").cast("string").alias("text"))
-    return predict(rows, model).where(F.col("lang_pred") != UNKNOWN).select("_doc.*")
+    rows = docs.select(whole_row(docs).alias("_doc"), F.col("text").cast("string").alias("text"))
+    return predict(rows, model, mark=False).where(F.col("lang_pred") != UNKNOWN).select("_doc.*")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import in_slots, text_of
+from tidewatch.llm.shared import in_slots, text_of, whole_row
 from tidewatch.llm.words import NOT_SPACE, grams, mixed, slices, words
 from tidewatch.session import shared_stage
 
@@ -344,8 +344,11 @@ def _linked(members: DataFrame, light: DataFrame, sets: DataFrame, percent: int,
     return labels
 
 
-def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
-    """doc_id, text_key (hash of the text), n_shingles, component_id and kept of every document."""
+def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 2, with_root: bool = False) -> DataFrame:
+    """doc_id, text_key (hash of the text), n_shingles, component_id and kept of every document.
+
+    With `with_root` also root, which tells components apart whatever their ids; null without words.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("text_key", F.xxhash64("text"))
     signed = shared_stage(signatures(rows, k))
     classes = signed.where("set_key is not null").groupBy("set_key").agg(
@@ -364,21 +367,28 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 2)
     labels = _linked(members, named.select("node", "n_shingles", "odd", "bands"), shared_stage(sets), percent, rounds)
     ids = classes.select("set_key", "node", "rep")
     if labels is None:
-        ids = ids.withColumn("component_id", F.col("rep"))
+        ids = ids.withColumns({"component_id": F.col("rep"), "root": F.col("node")})
     else:
         ids = ids.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
         smallest = ids.groupBy("root").agg(F.min("rep").alias("component_id"))
         ids = ids.join(smallest, "root")
-    out = signed.select("doc_id", "text_key", "n_shingles", "set_key").join(ids.select("set_key", "component_id"), "set_key", "left")
+    out = signed.select("doc_id", "text_key", "n_shingles", "set_key").join(ids.select("set_key", "component_id", "root"), "set_key", "left")
     own = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "text_key", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    root = ["root"] if with_root else []
+    return out.select("doc_id", "text_key", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), *root)
 
 
 def unique_documents(docs: DataFrame, **how) -> DataFrame:
-    """One whole row of `docs` for each group of near-duplicates, and every row without words."""
-    groups = near_groups(docs, **how).where("kept").select("doc_id", "text_key").distinct()
+    """One whole row of `docs` for each group of near-duplicates, and of the rows without words one for each id and text.
+
+    In a group that with the smallest doc_id stays (null last), of equal ids that with the smallest text hash.
+    """
+    groups = near_groups(docs, with_root=True, **how)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "text_key"))
+    chosen = groups.where(F.col("root").isNotNull()).groupBy("root").agg(first.alias("_first")).select("_first.doc_id", "_first.text_key")
+    groups = chosen.union(groups.where(F.col("root").isNull()).select("doc_id", "text_key").distinct())
     rows = docs.select(
-        F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("_doc"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text_of()).alias("_key"))
+        whole_row(docs).alias("_doc"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text_of()).alias("_key"))
     same = (F.col("_key") == F.col("text_key")) & F.col("_id").eqNullSafe(F.col("doc_id"))
     return rows.join(groups, same, "left_semi").dropDuplicates(["_key", "_id"]).select("_doc.*")
 

@@ -12,6 +12,15 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, whatever their names."""
+    return F.struct(*[F.col(quoted(n)) for n in df.columns])
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def crc_of(name: str, parts: int) -> Column:
     """crc32 of the value as text, modulo `parts`; null stays null."""
     return F.crc32(F.col(name).cast("string").cast("binary")) % parts

@@ -146,7 +146,7 @@ def grams(found: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     h, n = found.hash, len(found.hash)
     out = np.zeros(n, np.uint64)
     factor = 1
-    for j in range(k):
+    for j in range(min(k, n)):
         out[:n - j] += h[j:] * np.uint64(factor)
         factor = factor * 0xC2B2AE3D27D4EB4F % 2**64
     left = np.repeat(found.bounds[1:], np.diff(found.bounds)) - np.arange(n)
