@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tidewatch.llm.shared import crc_of, whole_row
+from tidewatch.llm.shared import crc_of, quoted, whole_row
 from tidewatch.llm.words import LOWER, slices
 from tidewatch.session import bounded_rows
 
@@ -164,14 +164,14 @@ def _has_letter(part: pa.RecordBatch, data: np.ndarray, places: np.ndarray) -> n
     return out
 
 
-def predict(docs: DataFrame, model: Model, mark: bool = True) -> DataFrame:
-    """All columns of `docs` but text, with lang_pred and score.
+def predict(docs: DataFrame, model: Model, mark: bool = True, keep_text: bool = False) -> DataFrame:
+    """All columns of `docs` but text (unless `keep_text`), with lang_pred and score.
 
     Without any language learned, texts with letters are marked as unknown like the others, or
     with `mark` off get an empty prediction.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [n for n in docs.columns if n != "text"]
+    kept = [n for n in docs.columns if keep_text or n != "text"]
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -190,7 +190,7 @@ def predict(docs: DataFrame, model: Model, mark: bool = True) -> DataFrame:
                     [*(part.column(n) for n in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
 
     added = [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
-    return docs.mapInArrow(tell, StructType([*(f for f in docs.schema if f.name != "text"), *added]))
+    return docs.mapInArrow(tell, StructType([*(f for f in docs.schema if f.name in kept), *added]))
 
 
 def training_rows(docs: DataFrame, parts: int = 4, held: int = 2) -> DataFrame:
@@ -214,5 +214,6 @@ def known_language(docs: DataFrame, parts: int = 4, held: int = 2, **how) -> Dat
     Where no row has a label, nothing can be told apart and every text with letters stays.
     """
     model = fit(training_rows(docs, parts, held), **how)
-    rows = docs.select(whole_row(docs).alias("_doc"), F.col("text").cast("string").alias("text"))
-    return predict(rows, model, mark=False).where(F.col("lang_pred") != UNKNOWN).select("_doc.*")
+    rows = docs.select(whole_row(docs, ("text",)).alias("_doc"), F.col("text").cast("string").alias("text"))
+    out = predict(rows, model, mark=False, keep_text=True).where(F.col("lang_pred") != UNKNOWN)
+    return out.select(*["text" if n == "text" else F.col(f"_doc.{quoted(n)}").alias(n) for n in docs.columns])

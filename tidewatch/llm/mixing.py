@@ -224,7 +224,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     takes = chosen_pieces(m).groupBy("_row", "turn").agg(F.collect_list(F.struct("first", "length")).alias("runs"))
     takes = takes.join(m.rows.select("_row", "_k", "size"), "_row").select(F.col("_k").alias("_key"), "size", "runs")
     names = docs.columns
-    rows = docs.select(whole_row(docs).alias("_doc"), F.col("text").cast("string").alias("text"), _content().alias("_k"))
+    rows = docs.select(whole_row(docs, ("text", "n_chars")).alias("_doc"), F.col("text").cast("string").alias("text"), _content().alias("_k"))
     rows = rows.dropDuplicates(["_k"]).join(takes, F.col("_k") == F.col("_key")).select("_doc", "size", "runs", "text")
     schema = StructType([rows.schema["_doc"], StructField("_text", StringType())])
 

@@ -12,9 +12,9 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def whole_row(df: DataFrame) -> Column:
-    """All columns as one struct, whatever their names."""
-    return F.struct(*[F.col(quoted(n)) for n in df.columns])
+def whole_row(df: DataFrame, but: tuple[str, ...] = ()) -> Column:
+    """All columns, or all but some, as one struct, whatever their names."""
+    return F.struct(*[F.col(quoted(n)) for n in df.columns if n not in but])
 
 
 def quoted(name: str) -> str:
