@@ -158,10 +158,10 @@ def stream_pair_history(cells: DataFrame, rule: HistoryRule) -> DataFrame:
         out = []
         for window, group in _ordered(batches, ["window_index", "first_row"]).groupby("window_index", sort=True):
             prior = None if memory.mean is None else memory.mean.tolist()
-            for r in group.itertuples(index=False):
-                vector = np.asarray(r.embedding, dtype=np.float64)
-                trust = memory.read(vector, r.local_score, r.copies)
-                out.append((key[0], list(key[1]), window, r.first_row, vector.tolist(), r.local_score, trust, prior, None))
+            vectors = np.array(group["embedding"].tolist(), dtype=np.float64)
+            trusts = memory.read_all(vectors, group["local_score"].to_numpy(), group["copies"].to_numpy(np.float64))
+            out += [(key[0], list(key[1]), window, first, list(vector), score, float(trust), prior, None) for first, vector, score, trust in zip(
+                group["first_row"], vectors.tolist(), group["local_score"], trusts)]
             update = memory.commit()
             if update is not None:
                 out.append((key[0], list(key[1]), window, int(group["first_row"].min()), update[1].tolist(), None, None, None, update[0]))
