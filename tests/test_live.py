@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -111,3 +113,55 @@ def test_history_equals_batch(spark):
     assert got.keys() == done.keys() and all(got[k] == pytest.approx(done[k]) for k in got)
     entities = run_available(live.stream_entity_history(as_stream(folded, "commits"), rule), "entities")
     assert entities.where("observations = 0 AND entity_mean IS NOT NULL").count() == 0 and entities.count() > 0
+
+
+EVENTS = "capture_id string, src_ip string, dst_ip string, src_port int, dst_port int, protocol string, behaviour int, event_id long, first_packet_time double"
+
+
+def clocks_of_files(spark, tmp_path, files, tolerance):
+    """Both clock stages over the given files, one file a trigger, in the given order; a last row closes the stream."""
+    def stream(name, parts):
+        for i, rows in enumerate(parts):
+            folder = tmp_path / name / f"{i}"
+            spark.createDataFrame(rows, parts_schema[name]).coalesce(1).write.parquet(str(folder))
+            for f in folder.glob("part-*"):
+                (tmp_path / f"{name}-in").mkdir(exist_ok=True)
+                target = tmp_path / f"{name}-in" / f"{i:03d}.parquet"
+                target.write_bytes(f.read_bytes())
+                os.utime(target, (1_000_000 + i, 1_000_000 + i))
+        return stream_folder(spark, str(tmp_path / f"{name}-in"), spark.createDataFrame([], parts_schema[name]).schema, 1)
+
+    parts_schema = {"events": EVENTS, "clocked": live.CONNECTION_OUTPUT}
+    last = (None,) * 8 + (9e9,)
+    first = run_available(live.stream_connection_clocks(stream("events", [*files, [last]]), tolerance), "clocks").collect()
+    later = [tuple(r) for r in first]
+    cut = [later[i::3] for i in range(3)]
+    fresh = run_available(live.stream_fresh_clocks(stream("clocked", [*[c for c in cut if c], [(*last, True, None, None, None)]]), "1 year"), "fresh").collect()
+    return first, fresh
+
+
+def test_clocks_follow_event_time_across_triggers(spark, tmp_path):
+    link = ("c", "s", "d", 1, 2, "tcp", 0)
+    first, fresh = clocks_of_files(spark, tmp_path, [[(*link, 2, 20.0)], [(*link, 1, 10.0)], [(*link, 3, 21.5)]], "15 seconds")
+    assert [(r["event_id"], r["new_connection"], r["gap"], r["gap_predecessor"]) for r in sorted(first, key=lambda r: r["event_id"])] == [
+        (1, True, 0.0, -1), (2, False, 10.0, 1), (3, False, 1.5, 2)]
+    assert [(r["event_id"], r["gap_valid"], r["gap_predecessor"]) for r in fresh] == [(1, False, -1)]
+
+
+def test_shuffled_files_give_the_clocks_of_the_batch(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [("c", f"s{rng.integers(2)}", "d", int(rng.integers(3)), 2, "tcp", 0, i, float(np.round(rng.random() * 500, 3))) for i in range(150)]
+    first, fresh = clocks_of_files(spark, tmp_path, [rows[i::5] for i in range(5)], "600 seconds")
+    got = {r["event_id"]: r for r in first if not r["new_connection"]} | {r["event_id"]: r for r in fresh}
+    batch = activity.event_clocks(spark.createDataFrame(rows, EVENTS)).collect()
+    assert len(got) == len(first) == len(rows) == len(batch)
+    for r in batch:
+        g = got[r["event_id"]]
+        assert (g["new_connection"], g["gap_valid"], g["gap_predecessor"]) == (r["new_connection"], r["gap_valid"], r["gap_predecessor"])
+        assert g["gap"] == pytest.approx(r["gap"])
+
+
+def test_an_event_behind_the_watermark_is_refused(spark, tmp_path):
+    link = ("c", "s", "d", 1, 2, "tcp", 0)
+    with pytest.raises(ValueError, match="later than the watermark"):
+        clocks_of_files(spark, tmp_path, [[(*link, 2, 200.0)], [(*link, 3, 300.0)], [(*link, 1, 10.0)], [(*link, 4, 301.0)]], "5 seconds")

@@ -257,37 +257,57 @@ CONNECTION_OUTPUT = (
 FRESH_OUTPUT = "capture_id string, src_ip string, dst_ip string, behaviour int, event_id long, first_packet_time double, " + _CLOCK
 
 
+_CLOCK_STATE = "time double, event long, pending array<struct<event_id: long, first_packet_time: double, behaviour: int>>"
+
+
 def _clock_fold(output: str, start_new: bool):
     columns = [c.split()[0] for c in output.split(", ")]
+    fields = ["event_id", "first_packet_time", "behaviour"]
 
     def fold(key, batches, state: GroupState):
-        time, event = state.get if state.exists else (None, -1)
-        out = []
-        data = _ordered(batches, ["first_packet_time", "event_id"])
-        for r in data.itertuples(index=False):
-            row = r._asdict()
-            row.update(new_connection=start_new and time is None or not start_new, gap_valid=time is not None,
-                       gap=0.0 if time is None else r.first_packet_time - time, gap_predecessor=event)
-            out.append(row)
-            time, event = r.first_packet_time, int(r.event_id)
-        state.update((time, event))
-        yield pd.DataFrame(out)[columns]
+        time, event, held = state.get if state.exists else (None, -1, [])
+        rows = [tuple(r) for r in held]
+        for batch in batches:
+            batch = batch if start_new else batch.assign(behaviour=key[-1])
+            rows += batch[fields].itertuples(index=False, name=None)
+        whole = lambda v: None if pd.isna(v) else int(v)
+        rows = [(int(e), float(t), whole(b)) for e, t, b in rows if pd.notna(e) and pd.notna(t)]
+        rows.sort(key=lambda r: (r[1], r[0]))
+        mark, out = state.getCurrentWatermarkMs(), []
+        ready = sum(t * 1000 < mark for _, t, _ in rows)  # nothing earlier can still come
+        for number, t, behaviour in rows[:ready]:
+            fresh = time is None if start_new else True
+            out.append((*key, *((behaviour,) if start_new else ()), number, t, fresh, time is not None, 0.0 if time is None else t - time, event))
+            time, event = t, number
+        rest = rows[ready:]
+        state.update((time, event, rest))
+        if rest:
+            state.setTimeoutTimestamp(max(int(rest[0][1] * 1000) + 1, mark + 1))
+        yield pd.DataFrame(out, columns=columns)
 
     return fold
 
 
-def stream_connection_clocks(events: DataFrame) -> DataFrame:
-    """Clock of every event against its own connection; new ones go on to `stream_fresh_clocks`."""
-    keys = ["capture_id", *FLOW_IDENTITY]
-    slim = events.select(*keys, F.col("behaviour").cast("int").alias("behaviour"), "event_id", "first_packet_time")
-    return _apply(slim, keys, _clock_fold(CONNECTION_OUTPUT, True), CONNECTION_OUTPUT, "time double, event long")
+def _clocks(events: DataFrame, keys: list[str], tolerance: str, output: str, start_new: bool) -> DataFrame:
+    times = events.withColumn("event_time", F.timestamp_micros((F.col("first_packet_time") * 1e6 + 0.5).cast("long"))).withWatermark("event_time", tolerance)
+    slim = times.select(*keys, *([F.col("behaviour").cast("int").alias("behaviour")] if start_new else []), "event_id", "first_packet_time", "event_time")
+    return slim.groupBy(*keys).applyInPandasWithState(
+        _clock_fold(output, start_new), output, _CLOCK_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_connection_clocks(events: DataFrame, tolerance: str = "2 seconds") -> DataFrame:
+    """Clock of every event against its own connection; new ones go on to `stream_fresh_clocks`.
+
+    An event waits in its connection's state until the watermark has passed it, so events come
+    out in order of time whatever trigger brought them; what is held is what `tolerance` spans.
+    Later ones are dropped by Spark and reported in the query progress.
+    """
+    return _clocks(events, ["capture_id", *FLOW_IDENTITY], tolerance, CONNECTION_OUTPUT, True)
 
 
-def stream_fresh_clocks(clocked: DataFrame) -> DataFrame:
-    """Clock of new connections against the previous new one of source, destination and behaviour."""
-    keys = ["capture_id", "src_ip", "dst_ip", "behaviour"]
-    slim = clocked.where("new_connection").select(*keys, "event_id", "first_packet_time")
-    return _apply(slim, keys, _clock_fold(FRESH_OUTPUT, False), FRESH_OUTPUT, "time double, event long")
+def stream_fresh_clocks(clocked: DataFrame, tolerance: str = "2 seconds") -> DataFrame:
+    """Clock of new connections against the previous new one of source, destination and behaviour, in order of time as above."""
+    return _clocks(clocked.where("new_connection"), ["capture_id", "src_ip", "dst_ip", "behaviour"], tolerance, FRESH_OUTPUT, False)
 
 
 # Python workers get the folds by value, so they need no installed package.
