@@ -5,6 +5,7 @@ from tidewatch.catalog.registry import IDENTITY_SQL, ctes, grid, grid_sql, grids
 from tidewatch.operators import flows as ops
 from tidewatch.plans.views import SHORT_WINDOW, TICK, WINDOW, packets
 
+BINS = 30  # of the micro-bin tensors
 STAT_SQL = grids_sql(*ops.FLOW_STATISTICS, digits=4)
 
 
@@ -45,7 +46,7 @@ _A2 = ["packets_a", "packets_b", "bytes_a", "bytes_b", "mean_a", "mean_b"]
 def _tensor_sql(keyed: str, cells: str, names) -> str:
     keys = "capture_id, window_index, endpoint_a_ip, endpoint_a_port, endpoint_b_ip, endpoint_b_port, protocol"
     return ctes("packets", ("keyed", keyed), ("cells", f"SELECT {keys}, bin, {cells} FROM keyed GROUP BY ALL"),
-                ("axis", f"SELECT DISTINCT {keys}, unnest(range(10)) AS bin FROM keyed")) + f"""
+                ("axis", f"SELECT DISTINCT {keys}, unnest(range({BINS})) AS bin FROM keyed")) + f"""
 SELECT capture_id, window_index, endpoint_a_ip, endpoint_b_ip, CAST(endpoint_a_port AS BIGINT) AS endpoint_a_port,
   CAST(endpoint_b_port AS BIGINT) AS endpoint_b_port, protocol, CAST(bin AS BIGINT) AS bin,
   {", ".join(f"{grid_sql(f'coalesce({n}, 0)', 4)} AS {n}" for n in names)}
@@ -53,7 +54,7 @@ FROM axis LEFT JOIN cells USING ({keys}, bin)"""
 
 
 _BIN = f"""CAST(floor(ts / {WINDOW}.0) AS BIGINT) AS window_index,
-  greatest(0, least(9, CAST(floor((ts - floor(ts / {WINDOW}.0) * {WINDOW}.0) / {WINDOW / 10} + 1e-12) AS BIGINT))) AS bin"""
+  greatest(0, least({BINS - 1}, CAST(floor((ts - floor(ts / {WINDOW}.0) * {WINDOW}.0) / {WINDOW / BINS} + 1e-12) AS BIGINT))) AS bin"""
 
 
 @query("a2_microbins_bidir", _tensor_sql(f"""
@@ -65,7 +66,7 @@ FROM (SELECT *, (src_ip < dst_ip OR (src_ip = dst_ip AND src_port <= dst_port))
   sum(CASE WHEN fwd THEN wire_length END) AS bytes_a, sum(CASE WHEN NOT fwd THEN wire_length END) AS bytes_b,
   avg(CASE WHEN fwd THEN wire_length END) AS mean_a, avg(CASE WHEN NOT fwd THEN wire_length END) AS mean_b""", _A2))
 def a2_microbins_bidir(spark, sf):
-    return _long_tensor(ops.microbins_bidir(packets(spark, sf), WINDOW, 10), _A2)
+    return _long_tensor(ops.microbins_bidir(packets(spark, sf), WINDOW, BINS), _A2)
 
 
 _A3 = ["packets", "bytes", "mean_length", "std_length", "mean_iat_ms", "std_iat_ms"]
@@ -80,7 +81,7 @@ FROM packets""",
     """count(*) AS packets, sum(wire_length) AS bytes, avg(wire_length) AS mean_length,
   stddev_pop(wire_length) AS std_length, avg(gap) AS mean_iat_ms, stddev_pop(gap) AS std_iat_ms""", _A3))
 def a3_microbins_iat(spark, sf):
-    return _long_tensor(ops.microbins_iat(packets(spark, sf), WINDOW, 10), _A3)
+    return _long_tensor(ops.microbins_iat(packets(spark, sf), WINDOW, BINS), _A3)
 
 
 _KEY = ["capture_id", "timestamp_second", "src_ip", "dst_ip", "protocol"]
