@@ -1,9 +1,10 @@
 """Alignment joins, attention and graph incidence."""
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewatch.catalog.activity import _flows
 from tidewatch.catalog.context import MEMBERS
-from tidewatch.catalog.registry import ctes, grid, grid_sql, grids, query
+from tidewatch.catalog.registry import ctes, grid, grid_sql, grids, query, recursive_ctes
 from tidewatch.operators import attention, context, graph, joins
 from tidewatch.operators.activity import event_clocks
 from tidewatch.plans.views import SHORT_WINDOW, embedding_flows, packets, table
@@ -31,12 +32,19 @@ def j2_aligned_populations(spark, sf):
     return joins.align(scores, labels, ["row_id"])
 
 
-@query("j3_population_difference", ctes("packets", ("a", "SELECT src_ip, dst_ip, protocol, count(*) AS n FROM packets WHERE capture_id = 'c0' GROUP BY ALL"),
-    ("b", "SELECT src_ip, dst_ip, protocol, count(*) AS n FROM packets WHERE capture_id = 'c1' GROUP BY ALL")) + """
-SELECT src_ip, dst_ip, protocol, coalesce(a.n, 0) - coalesce(b.n, 0) AS surplus FROM a FULL JOIN b USING (src_ip, dst_ip, protocol) WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)""")
+@query("j3_population_difference", ctes("packets", ("n", "SELECT capture_id, src_ip, dst_ip, protocol, count(*) AS n FROM packets GROUP BY ALL"),
+    ("following", "SELECT capture_id AS earlier, lead(capture_id) OVER (ORDER BY capture_id) AS later FROM (SELECT DISTINCT capture_id FROM n) QUALIFY later IS NOT NULL"),
+    ("a", "SELECT earlier, later, src_ip, dst_ip, protocol, n FROM following JOIN n ON capture_id = earlier"),
+    ("b", "SELECT earlier, later, src_ip, dst_ip, protocol, n FROM following JOIN n ON capture_id = later")) + """
+SELECT earlier, later, src_ip, dst_ip, protocol, coalesce(a.n, 0) - coalesce(b.n, 0) AS surplus
+FROM a FULL JOIN b USING (earlier, later, src_ip, dst_ip, protocol) WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)""")
 def j3_population_difference(spark, sf):
+    """Every capture against the one that follows it by name."""
     rows = packets(spark, sf)
-    return joins.population_difference(rows.where("capture_id = 'c0'"), rows.where("capture_id = 'c1'"), ["src_ip", "dst_ip", "protocol"])
+    following = rows.select(F.col("capture_id").alias("earlier")).distinct()
+    following = following.withColumn("later", F.lead("earlier").over(Window.orderBy("earlier"))).where("later IS NOT NULL")
+    side = lambda s: rows.join(following, F.col("capture_id") == F.col(s))
+    return joins.population_difference(side("earlier"), side("later"), ["earlier", "later", "src_ip", "dst_ip", "protocol"])
 
 
 # Ports folded to one number, so that reverse keys occur.
@@ -79,15 +87,15 @@ def j7_incident_counts(spark, sf):
 
 _PRIVATE = (("own", f"""SELECT t.capture_id, t.event_id, p.event_id AS neighbor, p.first_packet_time AS nt, row_number() OVER (PARTITION BY t.capture_id, t.event_id ORDER BY p.timestamp_second DESC, p.event_id DESC) AS i
 FROM en t JOIN en p ON p.capture_id = t.capture_id AND p.con = t.con AND p.timestamp_second >= t.timestamp_second - {H * SHORT_WINDOW} AND p.timestamp_second < t.timestamp_second"""),
-    ("own8", "SELECT * FROM own WHERE i <= 3"), ("revs", f"""
+    ("own8", "SELECT * FROM own WHERE i <= 8"), ("revs", f"""
 SELECT t.capture_id, t.event_id, p.event_id AS neighbor, p.first_packet_time AS nt, row_number() OVER (PARTITION BY t.capture_id, t.event_id ORDER BY p.timestamp_second DESC, p.event_id DESC) AS i
 FROM en t JOIN en p ON p.capture_id = t.capture_id AND p.con = t.rev AND p.timestamp_second >= t.timestamp_second - {H * SHORT_WINDOW} AND p.timestamp_second < t.timestamp_second
 LEFT JOIN own8 o ON o.capture_id = t.capture_id AND o.event_id = t.event_id AND o.neighbor = p.event_id WHERE o.neighbor IS NULL"""),
-    ("pc", "SELECT capture_id, event_id, 'own' AS side, neighbor, nt FROM own8 UNION ALL SELECT capture_id, event_id, 'reverse', neighbor, nt FROM revs WHERE i <= 2"))
+    ("pc", "SELECT capture_id, event_id, 'own' AS side, neighbor, nt FROM own8 UNION ALL SELECT capture_id, event_id, 'reverse', neighbor, nt FROM revs WHERE i <= 4"))
 
 
 def _private(spark, sf):
-    return graph.private_chain(_events(spark, sf), H, 3, 2, SHORT_WINDOW)
+    return graph.private_chain(_events(spark, sf), H, 8, 4, SHORT_WINDOW)
 
 
 @query("j8_private_chain", ctes("sflows", _EVENTS, _ENDS, *_PRIVATE) + "SELECT capture_id, event_id, side, neighbor FROM pc")
@@ -102,27 +110,82 @@ def c32_edge_times(spark, sf):
     return edges.select("capture_id", "event_id", "neighbor", grid("dt").alias("dt"))
 
 
-@query("c31_relation_sample_sizes", ctes("sflows", _EVENTS, _ENDS) + " UNION ALL ".join(f"""
-SELECT t.capture_id, t.event_id, {r} AS relation, least(4, count(*)) AS sampled
-FROM en t JOIN en p ON p.capture_id = t.capture_id AND {on} AND p.timestamp_second >= t.timestamp_second - {H * SHORT_WINDOW} AND p.timestamp_second < t.timestamp_second
-  AND p.con <> t.con AND p.con <> t.rev GROUP BY t.capture_id, t.event_id""" for r, on in list(_REL.items())[:1]))
-def c31_relation_sample_sizes(spark, sf):
-    edges = graph.sample_relations(_events(spark, sf), 4, H, 11, slice_seconds=SHORT_WINDOW)
-    return edges.where("relation = 0").groupBy("capture_id", "event_id", F.col("relation")).agg(F.count("*").alias("sampled"))
+def _draw_sql(seed, *parts):
+    return f"CAST('0x' || substr(md5({" || '|' || ".join([f"'{seed}'", *parts])}), 1, 15) AS BIGINT)"
+
+
+def _ranks_sql(name, asked, keys, seed, *parts):
+    """Tables that draw `most` distinct ranks below `size` for each row of `asked`: `name` has keys, rank and turn."""
+    parts = [f"CAST({p} AS VARCHAR)" for p in parts]
+    kept = ", ".join(keys)
+    candidate = f"{_draw_sql(seed, *parts, 'CAST(j AS VARCHAR)')} % (j + 1)"
+    return ((f"{name}_steps", f"""SELECT {kept}, size, size - most AS j, CAST([] AS BIGINT[]) AS chosen FROM {asked} WHERE size > most
+UNION ALL SELECT {kept}, size, j + 1, list_append(chosen, CASE WHEN list_contains(chosen, {candidate}) THEN j ELSE {candidate} END) FROM {name}_steps WHERE j < size"""),
+            (f"{name}_set", f"""SELECT {kept}, unnest(chosen) AS rank FROM {name}_steps WHERE j = size
+UNION ALL SELECT {kept}, unnest(range(size)) FROM {asked} WHERE size > 0 AND size <= most"""),
+            (name, f"""SELECT {kept}, rank, row_number() OVER (PARTITION BY {kept} ORDER BY {_draw_sql(seed + 1, *parts, 'CAST(rank AS VARCHAR)')}, rank) - 1 AS turn FROM {name}_set"""))
+
+
+_K = 4
+# Every candidate of a target, relation and time with its place among them; then the draws; then one relation after the other.
+_SAMPLES = (("cand", " UNION ALL ".join(f"""
+SELECT t.capture_id, t.event_id, {r}::BIGINT AS relation, p.timestamp_second = t.timestamp_second AS now, p.event_id AS neighbor,
+  row_number() OVER (PARTITION BY t.capture_id, t.event_id, p.timestamp_second = t.timestamp_second ORDER BY p.timestamp_second, p.event_id) - 1 AS rank
+FROM en t JOIN en p ON p.capture_id = t.capture_id AND {on} AND p.timestamp_second >= t.timestamp_second - {H * SHORT_WINDOW} AND p.timestamp_second <= t.timestamp_second
+WHERE CASE WHEN p.timestamp_second = t.timestamp_second THEN p.event_id <> t.event_id ELSE p.con <> t.con AND p.con <> t.rev END""" for r, on in _REL.items())),
+    ("asked", f"""SELECT capture_id, event_id, relation, now, CASE WHEN now THEN 'c' ELSE 'h' END AS mark, count(*) AS size, (relation + 1) * {_K} AS most FROM cand GROUP BY ALL"""),
+    *_ranks_sql("ranks", "asked", ["capture_id", "event_id", "relation", "now", "mark"], 11, "event_id", "relation", "mark"),
+    ("e", "SELECT c.*, turn FROM ranks JOIN cand c USING (capture_id, event_id, relation, now, rank)"),
+    ("k0", f"SELECT capture_id, event_id, now, relation, neighbor FROM e WHERE relation = 0 AND turn < {_K}"),
+    *[(f"k{r}", f"""SELECT * FROM k{r - 1} UNION ALL SELECT capture_id, event_id, now, relation, neighbor FROM (
+  SELECT e.*, row_number() OVER (PARTITION BY e.capture_id, e.event_id, e.now ORDER BY turn) AS i FROM e LEFT JOIN k{r - 1} k
+    ON k.capture_id = e.capture_id AND k.event_id = e.event_id AND k.now = e.now AND k.neighbor = e.neighbor
+  WHERE e.relation = {r} AND k.neighbor IS NULL) WHERE i <= {_K}""") for r in (1, 2, 3)])
+
+
+def _samples(spark, sf):
+    events = shared_stage(_events(spark, sf))
+    both = [graph.sample_relations(events, _K, H, 11, current=c, slice_seconds=SHORT_WINDOW).withColumn("current", F.lit(c)) for c in (False, True)]
+    return both[0].unionByName(both[1]).withColumn("relation", F.col("relation").cast("long"))
 
 
-@query("c31_relation_sample")
-def c31_relation_sample(spark, sf):
-    events = shared_stage(_events(spark, sf))
-    both = [graph.sample_relations(events, 4, H, 11, current=c, slice_seconds=SHORT_WINDOW).withColumn("current", F.lit(c)) for c in (False, True)]
-    return both[0].unionByName(both[1])
+@query("c31_relation_sample_sizes", recursive_ctes("sflows", _EVENTS, _ENDS, *_SAMPLES) + """
+SELECT capture_id, event_id, relation, now AS current, count(*) AS sampled FROM k3 GROUP BY ALL""")
+def c31_relation_sample_sizes(spark, sf):
+    return _samples(spark, sf).groupBy("capture_id", "event_id", "relation", "current").agg(F.count("*").alias("sampled"))
 
 
-@query("j14_donors")
+@query("c31_relation_sample", recursive_ctes("sflows", _EVENTS, _ENDS, *_SAMPLES) + f"""
+SELECT k.capture_id, k.event_id, relation, neighbor, {grid_sql("first_packet_time", 3)} AS neighbor_time, timestamp_second AS neighbor_second, now AS current
+FROM k3 k JOIN en p ON p.capture_id = k.capture_id AND p.event_id = k.neighbor""")
+def c31_relation_sample(spark, sf):
+    return _samples(spark, sf).withColumn("neighbor_time", grid("neighbor_time", 3))
+
+
+_DONOR_BLOCK = 10 * SHORT_WINDOW
+_DONORS = (("clk", """SELECT capture_id, event_id, row_number() OVER (PARTITION BY capture_id, src_ip, dst_ip, src_port, dst_port, protocol ORDER BY first_packet_time, event_id) = 1 AS fresh FROM ev"""),
+    ("pool", f"""SELECT ev.capture_id, ev.event_id, fresh, (timestamp_second - (SELECT min(timestamp_second) FROM ev)) // {_DONOR_BLOCK} AS block, ln(1 + byte_count) AS x
+FROM ev JOIN clk USING (capture_id, event_id) WHERE (capture_id, event_id) IN (SELECT (capture_id, event_id) FROM pc)"""),
+    ("placed", "SELECT *, row_number() OVER (PARTITION BY fresh ORDER BY block, capture_id, event_id) - 1 AS place FROM pool"),
+    ("spaced", "SELECT *, min(place) OVER (PARTITION BY fresh, block) AS low, count(*) OVER (PARTITION BY fresh, block) AS width, count(*) OVER (PARTITION BY fresh) AS pool FROM placed"),
+    ("want", "SELECT capture_id, event_id, pool - width AS size, 33 AS most FROM spaced WHERE pool > width"),
+    *_ranks_sql("ranks", "want", ["capture_id", "event_id"], 3, "capture_id", "event_id"),
+    ("drawn", """SELECT capture_id, event_id, turn, fresh, x AS own, CASE WHEN rank < low THEN rank ELSE rank + width END AS place
+FROM ranks JOIN spaced USING (capture_id, event_id)"""),
+    ("met", """SELECT d.capture_id, d.event_id, turn, p.capture_id AS dc, p.event_id AS de, (own - x) * (own - x) AS distance
+FROM drawn d JOIN placed p ON p.fresh = d.fresh AND p.place = d.place"""),
+    ("near", "SELECT *, row_number() OVER (PARTITION BY capture_id, event_id ORDER BY turn = 0, distance, turn) AS i FROM met"))
+
+
+@query("j14_donors", recursive_ctes("sflows", _EVENTS, _ENDS, *_PRIVATE, *_DONORS) + """
+SELECT capture_id, event_id, max(dc) FILTER (WHERE turn = 0) AS random_capture, max(de) FILTER (WHERE turn = 0) AS random_event,
+  max(dc) FILTER (WHERE turn > 0 AND i = 1) AS nearest_capture, max(de) FILTER (WHERE turn > 0 AND i = 1) AS nearest_event, count(*) AS drawn FROM near GROUP BY ALL""")
 def j14_donors(spark, sf):
     events = shared_stage(_events(spark, sf).withColumn("x", F.array(F.log1p("byte_count"))))
     private = graph.private_chain(events, H, 8, 4, SHORT_WINDOW)
-    return graph.donors(events, private, event_clocks(events), "x", 3, 32, 10 * SHORT_WINDOW)
+    out = graph.donors(events, private, event_clocks(events), "x", 3, 32, _DONOR_BLOCK)
+    return out.select("capture_id", "event_id", F.col("random_donor.capture_id").alias("random_capture"), F.col("random_donor.event_id").alias("random_event"),
+                      F.col("nearest_donor.capture_id").alias("nearest_capture"), F.col("nearest_donor.event_id").alias("nearest_event"), "drawn")
 
 
 @query("j11_causal_response", ctes("packets", ("k", """SELECT *, src_port % 3 AS sp, dst_port % 3 AS dp FROM packets"""), ("x", """

@@ -110,3 +110,7 @@ def ctes(names: str, *more: tuple[str, str]) -> str:
     parts = [f"{n} AS ({CTES[n].strip()})" for n in order]
     parts += [f"{n} AS ({body.strip()})" for n, body in more]
     return "WITH " + ",\n".join(parts) + "\n"
+
+
+def recursive_ctes(names: str, *more: tuple[str, str]) -> str:
+    return ctes(names, *more).replace("WITH ", "WITH RECURSIVE ", 1)

@@ -118,16 +118,22 @@ def edge_dt(edges: DataFrame, times: DataFrame, private: bool) -> DataFrame:
     return edges.join(newest, TARGET).withColumn("dt", F.log1p(dt) / F.log(F.lit(65.0))).drop("_origin")
 
 
+def draw(seed: int, *parts: Column) -> Column:
+    """A number of 60 bits from the MD5 of seed and parts: any SQL engine draws the same."""
+    named = F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("long")
+
+
 def _distinct_ranks(size: Column, most: Column, seed: int, *parts: Column) -> Column:
     """min(most, size) distinct ranks below `size`, in seeded order, each subset equally likely."""
     def choose(chosen: Column, j: Column) -> Column:
-        candidate = F.pmod(F.xxhash64(F.lit(seed), *parts, j), j + 1)
+        candidate = F.pmod(draw(seed, *parts, j), j + 1)
         return F.concat(chosen, F.array(F.when(F.array_contains(chosen, candidate), j).otherwise(candidate)))
 
     empty = F.array().cast("array<bigint>")
     some = F.aggregate(F.sequence(size - most, size - 1), empty, choose)
     subset = F.when(size <= 0, empty).when(size <= most, F.sequence(F.lit(0).cast("long"), size - 1)).otherwise(some)
-    mixed = F.transform(subset, lambda r: F.struct(F.xxhash64(F.lit(~seed), *parts, r).alias("h"), r.alias("r")))
+    mixed = F.transform(subset, lambda r: F.struct(draw(seed + 1, *parts, r).alias("h"), r.alias("r")))
     return F.transform(F.array_sort(mixed), lambda s: s["r"])
 
 
