@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tidewatch.functions import keys
+from tidewatch.operators import activity
 from tidewatch.operators import flows as ops
 
 
@@ -144,3 +145,24 @@ def test_captures_too_short_to_split_are_refused(spark):
         ops.split_calibration(rows.withColumnRenamed("at", "window_index"), 0.5)
     with pytest.raises(ValueError, match="short"):
         ops.split_seconds(rows.withColumnRenamed("at", "timestamp_second"), 0.25)
+
+
+def test_a_timestamp_far_off_costs_nothing(spark):
+    century = 100 * 365 * 86400
+    rows = [("c", s, 1.0, 100.0) for s in (5, 5, 6, 9)] + [("c", 5 + century, 4.0, 800.0), ("d", 3, 2.0, 10.0)]
+    data = spark.createDataFrame(rows, "capture_id string, timestamp_second long, packet_count double, byte_count double")
+    out = {r["capture_id"]: r for r in ops.load_summary(data).collect()}
+    assert out["c"]["duration"] == century + 1 and out["c"]["bytes_p99"] == 0 and out["c"]["flows_peak"] == 2
+    assert out["c"]["packets_mean"] == pytest.approx(8 / (century + 1))
+    assert (out["d"]["duration"], out["d"]["bytes_p95"], out["d"]["bytes_mean"]) == (1, 10, 10)
+
+
+def test_silent_seconds_are_runs_and_rows(spark):
+    rows = [("c", s, [1.0], [1.0] * 10, [2.0] * 10, 0) for s in (5, 5, 9, 10)]
+    data = spark.createDataFrame(rows, "capture_id string, timestamp_second long, phi array<double>, bin_packets array<double>, bin_bytes array<double>, first_bin int")
+    runs = {r["t"]: r["silent"] for r in activity.second_runs(data, 1).collect()}
+    assert runs == {5: 0, 9: 3, 10: 0}
+    dense = {r["t"]: list(r["summary"]) for r in activity.second_summary(data, 1, piece=2).collect()}
+    assert sorted(dense) == list(range(5, 11)) and dense[7] == [0.0] * 36 and dense[5][0] == 2.0
+    far = data.union(spark.createDataFrame([("c", 10**10, [1.0], [1.0] * 10, [2.0] * 10, 0)], data.schema))
+    assert max(r["silent"] for r in activity.second_runs(far, 1).collect()) == 10**10 - 11

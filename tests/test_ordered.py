@@ -134,3 +134,14 @@ def test_no_row_is_lost_by_ranks(spark):
     assert got == {("x", 2.0): pytest.approx(2 / 3), ("x", None): None, ("y", 5.0): 0.0, (None, 1.0): 0.0}
     tails = {(r["role"], r["v"]): r["tail_p"] for r in tail_evidence(known, rows, "v", ["role"]).collect()}
     assert tails == {("x", 2.0): pytest.approx(2 / 3), ("x", None): None, ("y", 5.0): 1.0, (None, 1.0): 1.0}
+
+
+def test_weighted_quantiles_stand_for_repeated_rows(spark, many_slices):
+    rng = np.random.default_rng(5)
+    rows = [(f"g{i % 3}", float(rng.integers(0, 9)), int(rng.integers(0, 4))) for i in range(90)] + [("g0", None, 5), (None, 2.0, 7)]
+    out = ordered.weighted_quantiles(spark.createDataFrame(rows, "g string, v double, w long"), ["g"], "v", "w", {"a": 0.0, "b": 0.33, "c": 0.95, "d": 1.0})
+    got = {r["g"]: tuple(r)[1:] for r in out.collect()}
+    assert len(got) == 4
+    for g, values in got.items():
+        full = [v for k, v, w in rows if k == g and v is not None for _ in range(w)]
+        assert np.allclose(values, np.quantile(full, [0.0, 0.33, 0.95, 1.0]))

@@ -133,6 +133,13 @@ def c28_second_summary(spark, sf):
     return out.select("capture_id", "t", *[grid(F.col("summary")[i], 4).alias(n) for i, n in enumerate(_NAMES)])
 
 
+@query("c28_silent_runs", ctes("sflows", *_PHI, *_SUMMARY) + f"""
+SELECT capture_id, CAST(t AS BIGINT) AS t, CAST(coalesce(t - lag(t) OVER (PARTITION BY capture_id ORDER BY t) - 1, 0) AS BIGINT) AS silent, {grid_sql("u0", 4)} AS u0, {grid_sql("s9", 4)} AS s9 FROM su""")
+def c28_silent_runs(spark, sf):
+    out = ops.second_runs(_phi_flows(spark, sf), _K, SHORT_WINDOW)
+    return out.select("capture_id", "t", "silent", grid(F.col("summary")[0], 4).alias("u0"), grid(F.col("summary")[len(_NAMES) - 1], 4).alias("s9"))
+
+
 _TAUS = (4, 16, 64)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.keys import FLOW_IDENTITY
 from tidewatch.functions.vectors import total, vector_sum
-from tidewatch.operators.ordered import group_totals, last_known, trailing_window
+from tidewatch.operators.ordered import group_totals, last_known, previous_row, trailing_window
 from tidewatch.session import shared_stage
 
 UNIT = ["capture_id", "node", "direction"]
@@ -152,18 +152,31 @@ def behaviour_bins(flows: DataFrame, behaviours: int, key: Sequence[str]) -> Dat
         rest(seen("bytes"), F.get("bin_bytes", F.col("c.bin"))).alias("bytes"))
 
 
-def second_summary(flows: DataFrame, behaviours: int, tick: int = 1) -> DataFrame:
-    """Fixed-length summary of every second of a capture; silent seconds are zero rows."""
+def second_runs(flows: DataFrame, behaviours: int, tick: int = 1) -> DataFrame:
+    """Fixed-length summary of every busy second and the number of silent seconds just before it."""
     weights = lambda w: [F.sum(F.get("phi", k) * w) for k in range(behaviours)]
     packets, size = total(F.col("bin_packets")), total(F.col("bin_bytes"))
     values = [*weights(F.lit(1.0)), *weights(packets), *weights(size), F.count(F.lit(1)).cast("double"), F.sum(packets), F.sum(size)]
     values += [F.count_if(F.col("first_bin") == b).cast("double") for b in range(10)]
     values += [F.sum(F.get(c, b)) for c in ("bin_packets", "bin_bytes") for b in range(10)]
     busy = flows.groupBy("capture_id", F.floor(F.col("timestamp_second") / tick).alias("t")).agg(F.array(*values).alias("summary"))
-    span = busy.groupBy("capture_id").agg(F.min("t").alias("_a"), F.max("t").alias("_b"))
-    axis = span.select("capture_id", F.explode(F.sequence("_a", "_b")).alias("t"))
-    zero = F.array_repeat(F.lit(0.0), len(values))
-    return axis.join(busy, ["capture_id", "t"], "left").withColumn("summary", F.coalesce("summary", zero))
+    runs = previous_row(busy, ["capture_id"], ["t"], ["t"], "_last")
+    return runs.withColumn("silent", F.coalesce(F.col("t") - F.col("_last.t") - 1, F.lit(0))).drop("_last")
+
+
+def second_summary(flows: DataFrame, behaviours: int, tick: int = 1, piece: int = 4096) -> DataFrame:
+    """Summary of every second of a capture; silent seconds are zero rows.
+
+    A silent run is cut into pieces that are spread over the tasks before they become rows. A
+    use that can take runs as they are reads `second_runs`.
+    """
+    runs = shared_stage(second_runs(flows, behaviours, tick))
+    first = F.col("t") - F.col("silent")
+    starts = runs.where("silent > 0").select("capture_id", F.col("t").alias("_end"), F.explode(F.sequence(first, F.col("t") - 1, F.lit(piece).cast("long"))).alias("_from"))
+    spread = starts.repartition("capture_id", "_from")
+    silent = spread.select("capture_id", F.explode(F.sequence("_from", F.least(F.col("_end"), F.col("_from") + piece) - 1)).alias("t"))
+    zero = F.array_repeat(F.lit(0.0), 3 * behaviours + 33)
+    return runs.select("capture_id", "t", "summary").unionByName(silent.withColumn("summary", zero))
 
 
 def decayed_history(summary: DataFrame, width: int, taus: Sequence[float], span: int, block: int = 1024) -> DataFrame:

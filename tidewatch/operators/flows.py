@@ -11,6 +11,7 @@ from tidewatch.functions.keys import (
 from tidewatch.operators.calibration import unpivot
 from tidewatch.operators.ordered import (
     SLICE, exact_quantiles, previous_row, row_positions, same_keys, slice_groups, sliced_positions, spread_groups,
+    weighted_quantiles,
 )
 from tidewatch.session import shared_stage
 
@@ -310,22 +311,25 @@ def reuse_split(rows: DataFrame) -> DataFrame:
 
 
 def load_summary(flows: DataFrame, tick: int = 1) -> DataFrame:
-    """Per capture: mean, p95, p99 and peak of flows, packets and bytes per tick, silent ticks included."""
+    """Per capture: mean, p95, p99 and peak of flows, packets and bytes per tick, silent ticks included.
+
+    Silent ticks are one run of zeros a capture, weighted by their number: a timestamp far off
+    costs nothing.
+    """
     busy = flows.groupBy("capture_id", F.floor(F.col("timestamp_second") / tick).alias("tick")).agg(
         F.count(F.lit(1)).alias("flows"), F.sum("packet_count").cast("long").alias("packets"),
         F.sum("byte_count").cast("long").alias("bytes"),
     )
     busy = shared_stage(busy)
-    span = busy.groupBy("capture_id").agg(F.min("tick").alias("_a"), F.max("tick").alias("_b"))
-    axis = span.select("capture_id", (F.col("_b") - F.col("_a") + 1).alias("duration"), F.explode(F.sequence("_a", "_b")).alias("tick"))
-    dense = axis.join(busy, ["capture_id", "tick"], "left").fillna(0, ["flows", "packets", "bytes"])
     measures = ("flows", "packets", "bytes")
-    out = dense.groupBy("capture_id").agg(
-        F.first("duration").alias("duration"),
-        *[f(m).alias(f"{m}_{n}") for m in measures for n, f in (("mean", F.avg), ("peak", F.max))],
-    )
-    q = exact_quantiles(unpivot(dense, ["capture_id"], measures), ["capture_id", "component"], "value", {"p95": 0.95, "p99": 0.99})
-    out = out.join(q.groupBy("capture_id").agg(
-        *[F.max(F.when(F.col("component") == m, F.col(n))).alias(f"{m}_{n}") for m in measures for n in ("p95", "p99")]), "capture_id")
+    duration = F.max("tick") - F.min("tick") + 1
+    out = busy.groupBy("capture_id").agg(
+        duration.alias("duration"), (duration - F.count(F.lit(1))).alias("silent"),
+        *[c for m in measures for c in ((F.sum(m) / duration).alias(f"{m}_mean"), F.max(m).alias(f"{m}_peak"))])
+    zeros = out.select("capture_id", F.explode(F.array(*map(F.lit, measures))).alias("component"), F.lit(0.0).alias("value"), F.col("silent").alias("weight"))
+    loads = unpivot(busy, ["capture_id"], measures).select("capture_id", "component", F.col("value").cast("double").alias("value"), F.lit(1).cast("long").alias("weight"))
+    q = weighted_quantiles(loads.unionByName(zeros), ["capture_id", "component"], "value", "weight", {"p95": 0.95, "p99": 0.99})
+    out = same_keys(out.drop("silent"), q.groupBy("capture_id").agg(
+        *[F.max(F.when(F.col("component") == m, F.col(n))).alias(f"{m}_{n}") for m in measures for n in ("p95", "p99")]), ["capture_id"], "inner")
     scale = F.lit(8e-6 / tick)
     return out.withColumns({f"mbps_{n}": F.col(f"bytes_{n}") * scale for n in ("mean", "p95", "p99", "peak")})

@@ -215,6 +215,26 @@ def exact_quantiles(
     return picked.select(*by, *[sure(f"_q{i}").alias(name) for i, (name, _) in enumerate(levels)])
 
 
+def weighted_quantiles(df: DataFrame, by: Sequence[str], value: str, weight: str, quantiles: Mapping[str, float]) -> DataFrame:
+    """Exact linear quantiles of rows that stand for `weight` equal values each.
+
+    One row a distinct value is counted on, so a run of any length costs one row. Rows without
+    a value or with a weight of 0 count for nothing.
+    """
+    by = list(by)
+    counts = df.where(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(*by, F.col(value).cast("double").alias("_x")).agg(F.sum(weight).alias("_n"))
+    placed = group_totals(running_sums(counts, by, ["_x"], {"_before": F.col("_n")}), by, {"_total": F.sum("_n")})
+    picks = []
+    for name, q in quantiles.items():
+        rank = (F.col("_total") - 1) * F.lit(float(q))
+        low = F.floor(rank)
+        holds = lambda i: F.when((i >= F.col("_before")) & (i < F.col("_before") + F.col("_n")), F.col("_x"))
+        picks += [F.max(holds(low)).alias(f"_low_{name}"), F.max(holds(low + 1)).alias(f"_high_{name}"), F.max(rank - low).alias(f"_share_{name}")]
+    step = lambda n: (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * F.col(f"_share_{n}")
+    return placed.groupBy(*by).agg(*picks).select(
+        *by, *[F.when(F.col(f"_share_{n}") > 0, F.col(f"_low_{n}") + step(n)).otherwise(F.col(f"_low_{n}")).alias(n) for n in quantiles])
+
+
 def trailing_window(
     df: DataFrame, by: Sequence[str], time: str, span: int, aggregates: Mapping[str, Column]
 ) -> DataFrame:
