@@ -1,4 +1,6 @@
-"""Streams over the given tables (T1-T6), the batch history (C4) and the whole detector."""
+"""Streams over the given tables (T1-T6, S11), the batch history (C4) and the whole detector."""
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewatch.catalog.activity import ACTIVITY, INTENSITY, SPAN, _flows
@@ -6,7 +8,9 @@ from tidewatch.catalog.registry import IDENTITY_SQL, ctes, grid, grid_sql, grids
 from tidewatch.operators.flows import FLOW_STATISTICS
 from tidewatch.operators.history import HistoryRule, historical_context
 from tidewatch.plans.detector import detect
-from tidewatch.plans.views import SHORT_WINDOW, embedding_flows, packets
+from tidewatch.plans.views import SHORT_WINDOW, embedding_flows, packets, table
+from tidewatch.session import stage_folder
+from tidewatch.sources.epochs import read_epochs, write_epochs
 from tidewatch.streaming import live
 from tidewatch.streaming.run import as_stream, relay, run_available
 
@@ -131,3 +135,12 @@ SELECT capture_id, row_id, CAST(behaviour AS BIGINT) AS behaviour, {grid_sql("pr
 def detected_flows(spark, sf):
     out = detect(packets(spark, sf), W, seed_column=F.col("dst_port") - 80)
     return out.select("capture_id", "row_id", F.col("behaviour").cast("long").alias("behaviour"), *grids("prototype_raw", "mass_raw", "final_score", digits=4), "flag")
+
+
+@query("s11_stream_scores", "SELECT doc_id, lang, n_chars AS score FROM documents")
+def s11_stream_scores(spark, sf):
+    stream = as_stream(table(spark, sf, "documents").select("doc_id", "lang", F.col("n_chars").alias("score")), "scores", 1)
+    folder = f"{stage_folder(spark)}/scores-{uuid.uuid4().hex}"
+    run = write_epochs(stream, f"{folder}/out", f"{folder}/progress")
+    run.awaitTermination()
+    return read_epochs(spark, f"{folder}/out", stream.schema).drop("epoch")
