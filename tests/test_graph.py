@@ -183,3 +183,14 @@ def test_causal_response(packet_table, request, sliced):
     out = causal_response(packet_table(rows), 0.010)
     assert [r["response"] for r in out.orderBy("frame_number").collect()] == [False, True, False, False, False, False]
     assert tuple(causal_summary(out).first()) == (6, 1, 1, 2)
+
+
+def test_drawn_ranks_are_distinct_and_even(spark):
+    n, size, most = 4000, 40, 8
+    rows = spark.range(n).select(graph._distinct_ranks(F.lit(size).cast("long"), F.lit(most).cast("long"), 11, F.col("id")).alias("r"))
+    drawn = [r["r"] for r in rows.collect()]
+    assert all(len(set(d)) == most and set(d) <= set(range(size)) for d in drawn)
+    for part in (drawn, [d[:1] for d in drawn]):  # the subset, and the first of its order
+        hits = np.bincount([x for d in part for x in d], minlength=size)
+        mean = hits.sum() / size
+        assert ((hits - mean) ** 2 / mean).sum() < 80  # 39 degrees of freedom: beyond one in ten thousand
