@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from tidewatch.functions.keys import FLOW_IDENTITY, channel_id, pair_key
 from tidewatch.functions.vectors import dot, norm, total, vector_mean, vector_sum
 from tidewatch.operators.ordered import exact_quantiles, group_totals, previous_row, running_sums, trailing_window
-from tidewatch.session import shared_stage
 
 WINDOW_KEY = ["capture_id", "window_index"]
 
@@ -316,15 +315,28 @@ def relation_counts(benign: DataFrame) -> DataFrame:
 
 
 def relation_lookup(flows: DataFrame, counts: DataFrame) -> DataFrame:
-    """The six benign counts of each flow's relation, zero where never seen.
+    """The six benign counts of each flow's relation, zero where never seen or where a key is null.
 
-    The counts are read six times, so they are written once.
+    Distinct relations are listed once a granularity, meet the counts in one join and come
+    back as one row each, so the flows themselves move once, whatever the granularities.
     """
-    counts = shared_stage(counts)
-    for name, keys in RELATION_SETS.items():
-        table = counts.where(F.col("granularity") == name).select(*keys, F.col("flows").alias(f"n_{name}"))
-        flows = flows.join(table, keys, "left").withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0)))
-    return flows
+    columns = [*RELATION, "src_port", "dst_port"]
+    names = list(RELATION_SETS)
+    masked = lambda n, keys: F.struct(
+        F.lit(n).alias("granularity"), *[F.when(F.lit(c in keys), F.col(c)).alias(f"_{c}") for c in columns])
+    level = lambda n, keys: F.when(F.forall(F.array(*[F.col(k).isNotNull() for k in keys]), lambda known: known), masked(n, keys))
+    relations = flows.select(*columns).distinct()
+    asked = relations.select("*", F.explode(F.array_compact(F.array(*[level(n, k) for n, k in RELATION_SETS.items()]))).alias("_level")).select(
+        *columns, "_level.*")
+    same = F.col("a.granularity") == F.col("c.granularity")
+    for c in columns:
+        same = same & F.col(f"a._{c}").eqNullSafe(F.col(f"c.{c}"))
+    found = asked.alias("a").join(counts.alias("c"), same).select(*[f"a.{c}" for c in columns], "a.granularity", "c.flows")
+    wide = found.groupBy(*columns).agg(
+        *[F.sum(F.when(F.col("granularity") == n, F.col("flows"))).alias(f"n_{n}") for n in names])
+    near = [F.col(f"f.{c}").eqNullSafe(F.col(f"w.{c}")) for c in columns]
+    out = flows.alias("f").join(wide.alias("w"), near, "left")
+    return out.select("f.*", *[F.coalesce(f"w.n_{n}", F.lit(0)).alias(f"n_{n}") for n in names])
 
 
 def relation_surprise(flows: DataFrame, counts: DataFrame) -> DataFrame:
