@@ -1,7 +1,7 @@
 """From packets to flow rows: segments, micro-bin tensors and flow statistics."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.keys import (
@@ -10,8 +10,7 @@ from tidewatch.functions.keys import (
 )
 from tidewatch.operators.calibration import unpivot
 from tidewatch.operators.ordered import (
-    SLICE, exact_quantiles, previous_row, row_positions, same_keys, slice_groups, sliced_positions, spread_groups,
-    weighted_quantiles,
+    SLICE, exact_quantiles, gather_cut, previous_row, row_positions, same_keys, slice_groups, sliced_positions, weighted_quantiles,
 )
 from tidewatch.session import shared_stage
 
@@ -149,10 +148,10 @@ def bin_columns() -> list[Column]:
 def flow_statistics(packets: DataFrame, window: int = 1, keep_bins: bool = False, number: bool = False) -> DataFrame:
     """The 25 statistics of every directional flow of `window` seconds.
 
-    Gaps come from slices of (flow, time). A flow within one slice has its quartiles taken
-    along with its sums; those of the few flows that spread over several come from sketches
-    and counts, so that no flow has to fit into one task. With `number`, the same slices also
-    give row_id, the position of the flow in its capture by (second, key).
+    Gaps come from slices of (flow, time). A flow within one slice is aggregated where it
+    lies; one of more rows than a slice should hold is combined over its slices, its quartiles
+    from sketches and counts, so that no flow has to fit into one task. With `number`, the same
+    slices also give row_id, the position of the flow in its capture by (second, key).
     """
     w = F.lit(float(window))
     start = F.floor(F.col("ts") / w)
@@ -161,22 +160,20 @@ def flow_statistics(packets: DataFrame, window: int = 1, keep_bins: bool = False
         "ts", "frame_number", F.col("wire_length").cast("int").alias("wire_length"), "binary_label",
         tenth_bin(F.col("ts") - start * w, window).alias("bin"),
     )
-    sliced = slice_groups(rows, FLOW, ["ts", "frame_number"])
-    spread = spread_groups(sliced, FLOW)
-
-    def with_gaps(part: DataFrame) -> DataFrame:
-        part = previous_row(part, FLOW, ["ts", "frame_number"], ["ts"], "_prev", sliced=True)
-        return part.withColumn("gap", F.col("ts") - F.col("_prev.ts")).drop("_prev")
-
-    rows = same_keys(with_gaps(sliced), F.broadcast(spread), FLOW)
+    order = ["ts", "frame_number"]
+    sliced, large = gather_cut(slice_groups(rows, FLOW, order), FLOW)
     quarters = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
-    short = F.percentile(F.when(F.col("_several").isNull(), F.col("gap")), F.array(*map(F.lit, quarters.values())))
-    flows = rows.groupBy(*FLOW).agg(*mergeable_aggregates(), short.alias("_gq"), F.min(SLICE).alias("_home"), *[
-        F.avg("gap").alias("_gm"), F.stddev_pop("gap").alias("_gs"), F.min("gap").alias("_g0"), F.max("gap").alias("_g1")])
-    if not spread.isEmpty():
-        long = with_gaps(same_keys(sliced, F.broadcast(spread), FLOW, "inner"))
-        long = exact_quantiles(long, FLOW, "gap", quarters, few_groups=True).select(*FLOW, F.array(*quarters).alias("_gl"))
-        flows = same_keys(flows, long, FLOW).withColumn("_gq", F.coalesce("_gl", "_gq"))
+    gap_parts = [F.avg("gap").alias("_gm"), F.stddev_pop("gap").alias("_gs"), F.min("gap").alias("_g0"), F.max("gap").alias("_g1")]
+    whole = sliced if large is None else same_keys(sliced, F.broadcast(large), FLOW).where("_several IS NULL").drop("_several")
+    whole = whole.withColumn("gap", F.col("ts") - F.lag("ts").over(Window.partitionBy(*FLOW, SLICE).orderBy(*order)))
+    flows = whole.groupBy(*FLOW, SLICE).agg(
+        *mergeable_aggregates(), F.percentile("gap", F.array(*map(F.lit, quarters.values()))).alias("_gq"), *gap_parts).withColumnRenamed(SLICE, "_home")
+    if large is not None:
+        rest = same_keys(sliced, F.broadcast(large), FLOW, "inner").drop("_several")
+        rest = previous_row(rest, FLOW, order, ["ts"], "_prev", sliced=True).withColumn("gap", F.col("ts") - F.col("_prev.ts"))
+        sums = rest.groupBy(*FLOW).agg(*mergeable_aggregates(), *gap_parts, F.min(SLICE).alias("_home"))
+        quartiles = exact_quantiles(rest, FLOW, "gap", quarters, few_groups=True).select(*FLOW, F.array(*quarters).alias("_gq"))
+        flows = flows.unionByName(same_keys(sums, quartiles, FLOW))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     bin_bytes = [F.col(f"_b{b}") for b in range(10)]
     bin_packets = [F.col(f"_p{b}") for b in range(10)]

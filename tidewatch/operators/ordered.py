@@ -74,10 +74,20 @@ def previous_row(df: DataFrame, by: Sequence[str], order: Sequence[str], columns
     return out.withColumn(name, F.coalesce(name, "_carried")).drop("_carried", *([] if sliced else [SLICE]))
 
 
-def spread_groups(sliced: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Groups of a sliced table that lie in several slices: fewer than there are slices, as a local table."""
-    groups = sliced.select(*by, SLICE).distinct().groupBy(*by).agg((F.count(F.lit(1)) > 1).alias("_several")).where("_several")
-    return sliced.sparkSession.createDataFrame(bounded_rows(groups, MOST_GROUPS), groups.schema)
+def gather_cut(sliced: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Groups of up to WHOLE rows that a range end cut come back to their first slice.
+
+    The second table lists the larger groups that stay spread over slices, and is None without any.
+    A range end cuts at most one group, so both lists are shorter than the list of slices.
+    """
+    cut = sliced.groupBy(*by, SLICE).agg(F.count(F.lit(1)).alias("_n")).groupBy(*by).agg(
+        F.min(SLICE).alias("_first"), F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_parts")).where("_parts > 1")
+    rows = bounded_rows(cut, MOST_GROUPS)
+    listed = lambda some: sliced.sparkSession.createDataFrame(some, cut.schema).select(*by, "_first")
+    small, large = [r for r in rows if r["_rows"] <= WHOLE], [r for r in rows if r["_rows"] > WHOLE]
+    if small:
+        sliced = same_keys(sliced, F.broadcast(listed(small)), by).withColumn(SLICE, F.coalesce("_first", SLICE)).drop("_first")
+    return sliced, listed(large).drop("_first").withColumn("_several", F.lit(True)) if large else None
 
 
 def sliced_positions(groups: DataFrame, sliced: DataFrame, by: Sequence[str], order: Sequence[str], home: str, name: str) -> DataFrame:
