@@ -268,13 +268,13 @@ def c17_cohort_context(spark, sf):
 
 
 @query("c18_backoff", ctes("sflows", COHORTS, *host_sql("cohort"), ("n", """
-SELECT role AS cohort, count(*) FILTER (WHERE capture_id = 'c0') AS cell_train, count(*) FILTER (WHERE capture_id = 'c1') AS cell_calibration FROM hc GROUP BY 1"""),
+SELECT role AS cohort, count(*) FILTER (WHERE capture_id = 'c0') AS cell_train, count(*) FILTER (WHERE capture_id <> 'c0') AS cell_calibration FROM hc GROUP BY 1"""),
     ("p", "SELECT *, sum(cell_train) OVER (PARTITION BY cohort // 16) AS rt, sum(cell_calibration) OVER (PARTITION BY cohort // 16) AS rc FROM n")) + """
 SELECT CAST(cohort AS BIGINT) AS cohort, cell_train, cell_calibration, CASE WHEN cell_train >= 140 AND cell_calibration >= 138 THEN 'cell'
   WHEN rt >= 200 AND rc >= 400 THEN 'role' ELSE 'global' END AS level FROM p WHERE cell_train > 0""")
 def c18_backoff(spark, sf):
     c = ops.cohort_context(host_flows(spark, sf))
-    choices = ops.backoff(c.where("capture_id = 'c0'"), c.where("capture_id = 'c1'"), min_cell_train=140,
+    choices = ops.backoff(c.where("capture_id = 'c0'"), c.where("capture_id <> 'c0'"), min_cell_train=140,
                           min_cell_calibration=138, min_role_train=200, min_role_calibration=400)
     return choices.select(F.col("cohort").cast("long").alias("cohort"), "cell_train", "cell_calibration", "level")
 

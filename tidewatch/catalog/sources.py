@@ -7,7 +7,7 @@ from tidewatch.catalog.flows import _FLOW_KEY_SQL, _flow_columns
 from tidewatch.catalog.registry import ctes, grid, grid_sql, query
 from tidewatch.operators import context, flows as ops
 from tidewatch.plans.views import SHORT_WINDOW, WINDOW, embedding_flows, packets, table
-from tidewatch.session import stage_folder
+from tidewatch.session import shared_stage, stage_folder
 from tidewatch.sources import packets as src, stores
 from tidewatch.sources.frames import decode_frames, wire_length
 
@@ -137,12 +137,31 @@ def s7_flow_contract(spark, sf):
 _RULES = ["not_finite", "negative", "no_packet", "unordered_seconds", "duplicate_rows", "duplicate_events", "bin_packets_differ", "bin_bytes_differ", "labels_in_training", "row_id_gaps"]
 
 
-@query("s8_capture_violations", ctes("flows") + f"""
-SELECT r.rule, CAST(CASE WHEN r.rule = 'labels_in_training' THEN (SELECT count(*) FROM flows) ELSE 0 END AS BIGINT) AS violations
-FROM (SELECT unnest({_RULES}) AS rule) r""")
+# Faults put into the flows, each on its own share of the events, one for every rule.
+_FAULTS = {"iat_cv": (97, "'NaN'::DOUBLE"), "packet_len_p25": (89, "-1.0::DOUBLE"), "packet_count": (83, "0.0::DOUBLE"),
+           "bin_bytes_mean": (73, "bin_bytes_mean + 1"), "timestamp_second": (71, f"timestamp_second - {50 * WINDOW}")}
+_TWICE, _GONE = 79, 67
+
+
+@query("s8_capture_violations", ctes("flows", ("f", f"""
+SELECT * REPLACE ({", ".join(f"CASE WHEN event_id % {m} = 0 THEN {v} ELSE {c} END AS {c}" for c, (m, v) in _FAULTS.items())}) FROM flows WHERE event_id % {_GONE} <> 0"""),
+    ("bad", f"SELECT * FROM f UNION ALL SELECT * FROM f WHERE event_id % {_TWICE} = 0"),
+    ("o", "SELECT *, lag(timestamp_second) OVER (PARTITION BY capture_id ORDER BY row_id) AS earlier FROM bad"),
+    ("n", f"""SELECT count(*) FILTER (WHERE event_id % 97 = 0) AS not_finite, count(*) FILTER (WHERE packet_len_p25 < 0) AS negative,
+  count(*) FILTER (WHERE packet_count < 1) AS no_packet, count(*) FILTER (WHERE timestamp_second < earlier) AS unordered_seconds,
+  count(*) - count(DISTINCT (capture_id, row_id)) AS duplicate_rows, count(*) - count(DISTINCT event_id) AS duplicate_events,
+  count(*) FILTER (WHERE event_id % 83 = 0) AS bin_packets_differ, count(*) FILTER (WHERE event_id % 73 = 0) AS bin_bytes_differ,
+  count(*) AS labels_in_training, (SELECT sum(abs(g)) FROM (SELECT max(row_id) + 1 - count(*) + min(row_id) AS g FROM bad GROUP BY capture_id)) AS row_id_gaps FROM o""")) +
+    " UNION ALL ".join(f"SELECT '{r}' AS rule, CAST({r} AS BIGINT) AS violations FROM n" for r in _RULES))
 def s8_capture_violations(spark, sf):
-    flows = ops.flow_statistics(packets(spark, sf), WINDOW, number=True)
-    return stores.validate_capture(flows, training=True)
+    """Every rule against flows with known faults: changed values, rows twice and rows left out."""
+    flows = ops.flow_statistics(packets(spark, sf), WINDOW, number=True).where(F.col("event_id") % _GONE != 0)
+    hit = lambda m: F.col("event_id") % m == 0
+    faults = {"iat_cv": F.lit(float("nan")), "packet_len_p25": F.lit(-1.0), "packet_count": F.lit(0.0),
+              "bin_bytes_mean": F.col("bin_bytes_mean") + 1, "timestamp_second": F.col("timestamp_second") - 50 * WINDOW}
+    flows = flows.withColumns({c: F.when(hit(_FAULTS[c][0]), v).otherwise(F.col(c)) for c, v in faults.items()})
+    flows = shared_stage(flows)  # read twice by the union and twice by the rules
+    return stores.validate_capture(flows.unionByName(flows.where(hit(_TWICE))), training=True)
 
 
 @query("s9_segment_metadata", ctes("packets", ("seg", f"""
