@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.session import bounded_rows, shared_stage
+from tidewatch.session import bounded_rows, local_table, shared_stage
 
 SLICE = "_slice"
 
@@ -83,7 +83,7 @@ def gather_cut(sliced: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFra
     cut = sliced.groupBy(*by, SLICE).agg(F.count(F.lit(1)).alias("_n")).groupBy(*by).agg(
         F.min(SLICE).alias("_first"), F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_parts")).where("_parts > 1")
     rows = bounded_rows(cut, MOST_GROUPS)
-    listed = lambda some: sliced.sparkSession.createDataFrame(some, cut.schema).select(*by, "_first")
+    listed = lambda some: local_table(sliced.sparkSession, some, cut.schema).select(*by, "_first")
     small, large = [r for r in rows if r["_rows"] <= WHOLE], [r for r in rows if r["_rows"] > WHOLE]
     if small:
         sliced = same_keys(sliced, F.broadcast(listed(small)), by).withColumn(SLICE, F.coalesce("_first", SLICE)).drop("_first")
@@ -193,7 +193,7 @@ def exact_quantiles(
     if by and not few_groups:
         met = same_keys(wanted, shared_stage(brackets), by, "inner")
     else:
-        fixed = df.sparkSession.createDataFrame(bounded_rows(brackets, MOST_GROUPS), brackets.schema)
+        fixed = local_table(df.sparkSession, bounded_rows(brackets, MOST_GROUPS), brackets.schema)
         met = same_keys(wanted, F.broadcast(fixed), by, "inner") if by else wanted.withColumn("_cells", fixed.scalar())
     met = met.select(*by, "_x", F.inline(F.filter("_cells", lambda c: F.col("_x") <= c["_hi"])))
     # Equal-width cells within a bracket; -1 is all below it.

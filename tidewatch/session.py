@@ -4,7 +4,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
@@ -59,3 +62,8 @@ def bounded_rows(df: DataFrame, most: int) -> list:
     if len(rows) > most:
         raise ValueError(f"expected at most {most} rows, found more")
     return rows
+
+
+def local_table(spark: SparkSession, rows: list, schema: StructType) -> DataFrame:
+    """A bounded list of rows as a table; it goes over as Arrow, so that no Python worker starts for it."""
+    return spark.createDataFrame(pa.Table.from_pylist([r.asDict(recursive=True) for r in rows], schema=to_arrow_schema(schema)), schema)
