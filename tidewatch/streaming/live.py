@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,28 +38,44 @@ def _seconds(column: str = "window.start"):
     return F.unix_seconds(column).alias("timestamp_second")
 
 
-def gap_columns(times: Column) -> list[Column]:
-    """The eight gap statistics of one flow from its packet times; all zero for one packet."""
-    gaps = F.array_sort(F.transform(
-        F.sequence(F.lit(1), F.size(times) - 1), lambda i: F.element_at(times, i + 1) - F.element_at(times, i)))
-    n = F.size(times) - 1
-    some = n > 0
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is worked out once, however often `then` and the lambdas in it name it."""
+    return F.transform(F.array(value), then)[0]
 
-    def zero(value: Column, name: str) -> Column:
-        return F.when(some, value).otherwise(0.0).alias(name)
 
-    def quartile(q: float) -> Column:
-        place = (n - 1) * F.lit(q)
-        low = F.floor(place).cast("int")
-        a, b = F.element_at(gaps, low + 1), F.element_at(gaps, F.least(low + 2, n))
-        return a + (b - a) * (place - low)
+GAPS = ("iat_mean", "iat_std", "iat_min", "iat_max", "iat_p25", "iat_p50", "iat_p75", "iat_cv")
 
+
+def gap_struct(times: Column) -> Column:
+    """The eight gap statistics of one flow from its packet times in any order; all zero for one packet.
+
+    Times are sorted, subtracted and summed up once each, so a flow costs what its sort costs.
+    """
     add = lambda values: F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
-    mean = add(gaps) / n
-    std = F.sqrt(add(F.transform(gaps, lambda g: (g - mean) * (g - mean))) / n)
-    return [
-        zero(mean, "iat_mean"), zero(std, "iat_std"), zero(F.element_at(gaps, 1), "iat_min"), zero(F.element_at(gaps, -1), "iat_max"),
-        *[zero(quartile(q / 100), f"iat_p{q}") for q in (25, 50, 75)], F.when(some & (mean > 0), std / mean).otherwise(0.0).alias("iat_cv")]
+
+    def of_gaps(gaps: Column) -> Column:
+        n = F.size(gaps)
+
+        def quartile(q: float) -> Column:
+            place = (n - 1) * F.lit(q)
+            low = F.floor(place).cast("int")
+            a, b = F.element_at(gaps, low + 1), F.element_at(gaps, F.least(low + 2, n))
+            return a + (b - a) * (place - low)
+
+        def of_mean(mean: Column) -> Column:
+            spread = F.sqrt(add(F.transform(gaps, lambda g: (g - mean) * (g - mean))) / n)
+            return _let(spread, lambda std: F.struct(*[v.alias(c) for c, v in zip(GAPS, (
+                mean, std, F.element_at(gaps, 1), F.element_at(gaps, -1), *[quartile(q) for q in (0.25, 0.5, 0.75)],
+                F.when(mean > 0, std / mean).otherwise(0.0)))]))
+
+        return F.when(n > 0, _let(add(gaps) / n, of_mean)).otherwise(F.struct(*[F.lit(0.0).alias(c) for c in GAPS]))
+
+    def of_times(sorted_times: Column) -> Column:
+        n = F.size(sorted_times) - 1
+        gaps = F.zip_with(F.slice(sorted_times, F.lit(1), n), F.slice(sorted_times, F.lit(2), n), lambda a, b: b - a)
+        return _let(F.sort_array(gaps), of_gaps)
+
+    return _let(F.sort_array(times), of_times)
 
 
 def stream_flows(packets: DataFrame, seconds: int = 1, tolerance: int = 2) -> DataFrame:
@@ -73,9 +89,9 @@ def stream_flows(packets: DataFrame, seconds: int = 1, tolerance: int = 2) -> Da
     timed = with_event_time(packets).withColumn("bin", tenth_bin(F.col("ts") - start, seconds))
     flows = tumble(timed, seconds, f"{tolerance} seconds").groupBy("capture_id", *FLOW_IDENTITY, "window").agg(
         *mergeable_aggregates(), F.collect_list("ts").alias("_times"))
-    flows = flows.withColumn("_times", F.array_sort("_times"))
+    flows = flows.withColumn("_gaps", gap_struct(F.col("_times")))
     return flows.select(
-        "capture_id", _seconds(), *FLOW_IDENTITY, "window", *size_columns(), *gap_columns(F.col("_times")), *bin_columns(),
+        "capture_id", _seconds(), *FLOW_IDENTITY, "window", *size_columns(), "_gaps.*", *bin_columns(),
         "first_packet_time", "event_id", "binary_label")
 
 
