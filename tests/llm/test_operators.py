@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -158,6 +159,21 @@ def test_every_repeated_word_is_a_unit(spark, frequent):
         assert r["score"] == pytest.approx(want + m.transition[last, 2] + m.emission[-1])
 
 
+def test_classes_of_many_words_are_chosen_in_blocks():
+    rng = np.random.default_rng(1)
+    size = rng.integers(1, 90, 4000)
+    u, s = np.repeat(np.arange(4000), size), np.concatenate([np.sort(rng.choice(np.r_[0:49, 64:113], k, replace=False)) for k in size])
+    n, own, table = rng.integers(1, 9, len(u)).astype(float), rng.integers(0, 48, 4000), rng.integers(0, 1000, (49, 49)).astype(float)
+    whole = lm.gains(u, s, n, own, table, 48).argmax(1)
+    for block in (1, 5, 100, 1 << 14, len(u), 1 << 30):
+        assert (lm.best_classes(u, s, n, own, table, 48, block) == whole).all()
+    tracemalloc.start()
+    lm.best_classes(u, s, n, own, table, 48)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60e6 < len(u) * 48 * 8  # one array over all entries would be larger
+
+
 def test_class_gains_are_likelihood_differences():
     rng = np.random.default_rng(4)
     table = rng.integers(20, 60, (4, 4)).astype(float)
