@@ -3,6 +3,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,23 @@ def test_slots_hold_every_key(spark):
     assert not slot_bits(spark.createDataFrame([], "k long"), "k").any()
 
 
+def test_suffixes_of_a_task_are_merged_in_small_batches():
+    rng = np.random.default_rng(2)
+    blocks = [[rng.integers(1, 300, 1 << 16).astype(np.uint64) for _ in range(3)] for _ in range(8)]
+    expected = collections.Counter(r for b in blocks for r in zip(*(c.tolist() for c in b)))
+    next(phrases._merged([[c[:9] for c in b] for b in blocks], ["w1", "w2", "w3"]))  # what is loaded on first use is not counted
+    tracemalloc.start()
+    held = [[c.copy() for c in b] for b in blocks]
+    first = next(phrases._merged(held, ["w1", "w2", "w3"]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert first.num_rows == 1 << 16
+    assert most < 36e6 and not held  # three columns of 4 MB; all at once took 68 MB
+    held = [[c.copy() for c in b] for b in blocks]
+    got = collections.Counter({r[:3]: r[3] for x in phrases._merged(held, ["w1", "w2", "w3"]) for r in zip(*(c.to_pylist() for c in x.columns))})
+    assert got == expected
+
+
 def test_long_texts_are_cut_between_words():
     data = np.frombuffer(b"ab cd  efg" * 50 + b"x" * 90 + b" y", np.uint8)
     places = np.array([0, len(data)])

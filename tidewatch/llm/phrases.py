@@ -90,17 +90,26 @@ def word_table(docs: DataFrame) -> DataFrame:
     return parts.groupBy("lang", "w", "word").agg(F.sum("n").alias("n"))
 
 
-def _suffixes(docs: DataFrame, depth: int, open_bits: np.ndarray, block: int = 1 << 20) -> DataFrame:
+def _merged(held: list[list[np.ndarray]], names: list[str], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Distinct rows of the held columns and how often each occurs, in batches of `rows`; empties `held`."""
+    parts = [list(c) for c in zip(*held)]
+    held.clear()
+    columns = []
+    while parts:  # a column's parts go before the next column is put together
+        columns.append(np.concatenate(parts.pop(0)))
+    order, begins = _runs(columns)
+    n = np.diff(np.append(begins, len(order)))
+    order = order[begins]
+    for at in range(0, len(order), rows):
+        some = order[at:at + rows]
+        yield pa.RecordBatch.from_arrays([*[pa.array(c[some].view(np.int64)) for c in columns], pa.array(n[at:at + rows])], [*names, "n"])
+
+
+def _suffixes(docs: DataFrame, depth: int, open_bits: np.ndarray, block: int = 1 << 19) -> DataFrame:
     """w1..w`depth` and n of suffixes whose branches of one level less may be open, merged within blocks of a task."""
     sent = docs.sparkSession.sparkContext.broadcast(open_bits)
     names = [f"w{i + 1}" for i in range(depth)]
 
-    def merged(held: list[list[np.ndarray]]) -> pa.RecordBatch:
-        columns = [np.concatenate(c) for c in zip(*held)]
-        order, begins = _runs(columns)
-        n = np.diff(np.append(begins, len(order)))
-        return pa.RecordBatch.from_arrays([*[pa.array(c[order[begins]].view(np.int64)) for c in columns], pa.array(n)], [*names, "n"])
-
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for w, follows, *_ in _read(batches):
@@ -115,10 +124,10 @@ def _suffixes(docs: DataFrame, depth: int, open_bits: np.ndarray, block: int = 1
             held.append([w[at + i] for i in range(depth)])
             size += len(at)
             if size >= block:
-                yield merged(held)
-                held, size = [], 0
+                yield from _merged(held, names)
+                size = 0
         if size:
-            yield merged(held)
+            yield from _merged(held, names)
 
     return docs.mapInArrow(make, ", ".join(f"{c} long" for c in [*names, "n"]))
 
